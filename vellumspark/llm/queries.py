@@ -34,6 +34,22 @@ def p2_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages_without(lines, gone, "line_id", "book_id", "page", "seq", "raw").withColumnRenamed("source", "book_id")
 
 
+def p3_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellumspark.llm.scans import repair_scans
+
+    return repair_scans(table(spark, sf_dir, "blocks"), table(spark, sf_dir, "paras"), table(spark, sf_dir, "lines"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellumspark.llm.scans import defects_of
+
+    return defects_of(p3_repaired(spark, sf_dir))
+
+
+def p3_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_repaired(spark, sf_dir).select("rec", "rec_id", "text").dropDuplicates(["rec", "rec_id"])
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_pieces(spark, sf_dir).select("block_id").distinct()
 
@@ -91,7 +107,7 @@ def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [p1_found, p1_terms, p2_found, p2_pages, p4_found, p4_pieces, p5_found, p5_restored, p6_containers, p7_found, p7_leaks, p8_found, p8_subjects, p8_composition]
+    named = [p1_found, p1_terms, p2_found, p2_pages, p3_found, p3_texts, p4_found, p4_pieces, p5_found, p5_restored, p6_containers, p7_found, p7_leaks, p8_found, p8_subjects, p8_composition]
     return {f.__name__: f for f in named}
 
 

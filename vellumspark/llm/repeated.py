@@ -70,8 +70,8 @@ def allowed_edits(key: Column) -> Column:
     return F.when(n < 4, 0).otherwise(F.least(F.lit(8), F.greatest(F.lit(1), (n / 8).cast("int"))))
 
 
-def keyed(df: DataFrame, source: str, page: str, raw: str, id_col: str | None = None) -> DataFrame:
-    """source, page, key and, if asked, id of the rows that have a source and a page. Keys are made in Arrow batches:
+def keyed(df: DataFrame, source: str, page: str, raw: str, id_col: str | None = None, flag: Column | None = None) -> DataFrame:
+    """source, page, key and, if asked, id and flag of the rows that have a source and a page. Keys are made in Arrow batches:
     one pass of a compiled pattern is several times cheaper here than the chain of JVM patterns it replaces."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -82,8 +82,9 @@ def keyed(df: DataFrame, source: str, page: str, raw: str, id_col: str | None =
 
     names = [F.col(source).cast("string").alias("source"), F.col(page).cast("bigint").alias("page"), F.col(raw).cast("string").alias("raw")]
     kept = [] if id_col is None else [F.col(id_col).cast("bigint").alias("id")]
+    kept += [] if flag is None else [flag.cast("int").alias("flag")]
     rows = df.select(*names, *kept).where("source is not null and page is not null")
-    return rows.mapInPandas(run, "source string, page bigint, " + ("" if id_col is None else "id bigint, ") + "key string")
+    return rows.mapInPandas(run, "source string, page bigint, " + ("" if id_col is None else "id bigint, ") + ("" if flag is None else "flag int, ") + "key string")
 
 
 def line_counts(df: DataFrame, source: str, page: str, raw: str) -> DataFrame:
