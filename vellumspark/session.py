@@ -51,7 +51,7 @@ def join_measured(big: DataFrame, small: DataFrame, on: list[str], how: str = "i
     for name, kind in small.dtypes:
         if kind == "string":
             width = width + F.coalesce(F.length(name), F.lit(0)) * 2
-        elif kind.startswith("array<string"):
-            width = width + F.coalesce(F.length(F.array_join(name, " ")), F.lit(0)) * 2
+        elif kind.startswith(("array", "struct", "map")):
+            width = width + F.coalesce(F.length(F.to_json(name)), F.lit(0)) * 2
     size = small.agg(F.sum(width).alias("b")).first()["b"] or 0
     return big.join(F.broadcast(small) if size <= limit_mb * 1_000_000 else small, on, how)
