@@ -156,8 +156,12 @@ def doubled_words(df: DataFrame, keys: list[str], column: str, most: int | None
 
 
 def number_difference(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Multiset difference of two token tables with the same columns, both ways: side, columns."""
-    return a.exceptAll(b).withColumn("side", F.lit("missing")).unionByName(b.exceptAll(a).withColumn("side", F.lit("unexpected")))
+    """Multiset difference of two token tables with the same columns, both ways: columns, side. Counts are compared, so a
+    token that comes a million times on both sides is one row in the shuffle of each task."""
+    cols = a.columns
+    n = a.withColumn("_d", F.lit(1)).unionByName(b.select(*cols, F.lit(-1).alias("_d"))).groupBy(*cols).agg(F.sum("_d").alias("_n")).where("_n <> 0")
+    side = F.when(F.col("_n") > 0, "missing").otherwise("unexpected").alias("side")
+    return n.select(*cols, side, F.explode(F.sequence(F.lit(1), F.abs("_n").cast("int"))).alias("_i")).drop("_i")
 
 
 def number_issues(source: DataFrame, output: DataFrame) -> DataFrame:
