@@ -99,24 +99,37 @@ def merge_counts(state: DataFrame, delta: DataFrame) -> DataFrame:
     return state.unionByName(delta).distinct()
 
 
-def seeds(counts: DataFrame, share: float = SEED_SHARE, least: int = 2) -> DataFrame:
-    """source, seeds (keys on at least ``share`` of the pages and on ``least`` of them), pages. As a page holds a bounded
-    number of lines, so does a source of seeds."""
-    n = counts.groupBy("source", "key").agg(F.count("*").alias("n"))
-    totals = n.where("key is null").select("source", F.col("n").alias("pages"))
-    often = n.where(f"key is not null and n >= {least}")
+def page_totals(df: DataFrame, source: str, page: str) -> DataFrame:
+    """source, pages: distinct pages of each source."""
+    rows = df.select(F.col(source).cast("string").alias("source"), F.col(page).cast("bigint").alias("page")).where("source is not null and page is not null")
+    return rows.distinct().groupBy("source").agg(F.count("*").alias("pages"))
+
+
+def seeds(occurrences: DataFrame, totals: DataFrame, share: float = SEED_SHARE, least: int = 2) -> DataFrame:
+    """source, pages, seeds (key, edits, pieces) of keys on at least ``share`` of the pages and on ``least`` of them.
+
+    As a page holds a bounded number of lines, so does a source of seeds. A line within ``edits`` of a key holds at least
+    one of its edits + 1 pieces unchanged, which is looked up before any edit distance is worked out.
+    """
+    often = occurrences.groupBy("source", "key").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     picked = often.join(totals, "source").where(F.col("n") >= F.col("pages") * share)
-    return picked.groupBy("source").agg(F.max("pages").alias("pages"), F.array_sort(F.collect_list("key")).alias("seeds"))
+    edits, n = allowed_edits(F.col("key")), F.length("key")
+    cut = lambda i: (n * i / (edits + 1)).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), edits), lambda i: F.substring(F.col("key"), cut(i) + 1, cut(i + 1) - cut(i)))
+    seed = F.struct(F.col("key"), edits.alias("edits"), pieces.alias("pieces"))
+    return picked.groupBy("source").agg(F.max("pages").alias("pages"), F.array_sort(F.collect_list(seed)).alias("seeds"))
 
 
 def matched(rows: DataFrame, of: DataFrame) -> DataFrame:
     """Rows with the seeds of their source that they equal but for misread letters, one row per seed."""
+    key = F.col("key")
     near = F.filter(
         F.col("seeds"),
-        lambda s: (s == F.col("key")) | ((F.abs(F.length(s) - F.length("key")) <= allowed_edits(s)) & (F.levenshtein(s, F.col("key"), 8).between(0, allowed_edits(s)))),
+        lambda s: (s["key"] == key)
+        | ((F.abs(F.length(s["key"]) - F.length(key)) <= s["edits"]) & F.exists(s["pieces"], lambda p: F.contains(key, p)) & F.levenshtein(s["key"], key, 8).between(0, s["edits"])),
     )
     both = join_measured(rows.where("key is not null"), of, ["source"])
-    return both.withColumn("near", near).where(F.size("near") > 0).withColumn("seed", F.explode("near")).drop("near", "seeds")
+    return both.withColumn("near", near).where(F.size("near") > 0).withColumn("seed", F.explode("near.key")).drop("near", "seeds")
 
 
 def repeated_lines(df: DataFrame, id_col: str, source: str, page: str, raw: str, share: float = SHARE, least_pages: int = LEAST_PAGES) -> DataFrame:
@@ -125,7 +138,8 @@ def repeated_lines(df: DataFrame, id_col: str, source: str, page: str, raw: str,
     A row without source, page or text is never repeated; equal identifiers come out once; bare page numbers are left
     out; an empty table gives no rows. Only columns named are used, so further columns may have any name.
     """
-    of = checkpointed(seeds(line_counts(df, source, page, raw)))
+    seen = keyed(df, source, page, raw).where("key is not null").distinct()
+    of = checkpointed(seeds(seen, page_totals(df, source, page)))
     rows = keyed(df, source, page, raw, id_col)
     hits = checkpointed(matched(rows, of))
     # Two levels, so that a source with a third of all pages is counted by many tasks.
@@ -136,7 +150,8 @@ def repeated_lines(df: DataFrame, id_col: str, source: str, page: str, raw: str,
 
 def crossed_keys(counts: DataFrame, share: float = SHARE, least_pages: int = LEAST_PAGES) -> DataFrame:
     """source, key of the lines over the threshold, from a count table alone (no original lines are read)."""
-    of = checkpointed(seeds(counts))
+    totals = counts.where("key is null").groupBy("source").agg(F.count("*").alias("pages"))
+    of = checkpointed(seeds(counts.where("key is not null"), totals))
     hits = checkpointed(matched(counts.where("key is not null"), of))
     n = hits.select("source", "seed", "page", "pages").distinct().groupBy("source", "seed").agg(F.count("*").alias("n"), F.max("pages").alias("pages"))
     crossed = n.where((F.col("n") >= F.col("pages") * share) & (F.col("n") >= least_pages))
