@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellumspark.llm.worker import new_key, per_worker
+
 N = 4
 SHARED_MOST = 3
 BLOCK_TOKENS = 4_000_000  # of items in one pass: the bound of what is broadcast
@@ -213,9 +215,10 @@ def leaks(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, passage
 
     def over(block: list[tuple[int, str | None, str | None]]) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(block)
+        key = new_key()
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            index = Index(shared.value)
+            index = per_worker(key, lambda: Index(shared.value))
             for b in batches:
                 found = [(i, item, "passage" if p else "question", s) for i, t in zip(b["id"].tolist(), b["text"].tolist()) for item, p, s in index.scan(t, passage_share, question_share)]
                 yield pd.DataFrame(found, columns=["id", "item_id", "part", "share"])

@@ -34,20 +34,16 @@ def p2_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages_without(lines, gone, "line_id", "book_id", "page", "seq", "raw").withColumnRenamed("source", "book_id")
 
 
-def p3_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from vellumspark.llm.scans import repair_scans
-
-    return repair_scans(table(spark, sf_dir, "blocks"), table(spark, sf_dir, "paras"), table(spark, sf_dir, "lines"))
-
-
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from vellumspark.llm.scans import defects_of
+    from vellumspark.llm.scans import repair_scans
 
-    return defects_of(p3_repaired(spark, sf_dir))
+    return repair_scans(table(spark, sf_dir, "blocks"), table(spark, sf_dir, "paras"), table(spark, sf_dir, "lines"), defects=True)
 
 
 def p3_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p3_repaired(spark, sf_dir).select("rec", "rec_id", "text").dropDuplicates(["rec", "rec_id"])
+    from vellumspark.llm.scans import repair_scans
+
+    return repair_scans(table(spark, sf_dir, "blocks"), table(spark, sf_dir, "paras"), table(spark, sf_dir, "lines"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellumspark.llm.worker import new_key, per_worker
+
 LABELLED_MOST = 20_000
 LEAST_DOCS = 2
 LEAST_WORDS = 4
@@ -165,10 +167,11 @@ def shares(docs: DataFrame, id_col: str, text_col: str, lexicon: Lexicon, least:
     """id, subject, share of sentences, of the subjects that win at least ``least`` of a document's sentences."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(lexicon)
+    key = new_key()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lex = shared.value
-        automaton = lex.automaton()
+        automaton = per_worker(key, lex.automaton)
         for b in batches:
             rows = [(i, lex.subjects[s], x) for i, t in zip(b["id"].tolist(), b["text"].tolist()) for s, x in lex.shares(automaton, t).items() if x >= least]
             yield pd.DataFrame(rows, columns=["id", "subject", "share"])
