@@ -155,8 +155,9 @@ def html_table(cells: DataFrame, keys: list[str]) -> DataFrame:
 
 def front_matter(chapters: DataFrame, fields: list[str]) -> DataFrame:
     """YAML front matter of each chapter, fields in the order given, nulls as empty."""
-    lines = [F.concat(F.lit(f"{f}: "), F.coalesce(F.to_json(F.struct(F.col(f).cast("string").alias("v"))).substr(6, 100000), F.lit('""}'))) for f in fields]
-    body = F.concat_ws("\n", F.lit("---"), *[F.regexp_replace(line, r"\}$", "") for line in lines], F.lit("---"))
+    quoted = lambda f: F.concat(F.lit('"'), F.replace(F.replace(F.col(f).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    lines = [F.concat(F.lit(f"{f}: "), F.coalesce(quoted(f), F.lit('""'))) for f in fields]
+    body = F.concat_ws("\n", F.lit("---"), *lines, F.lit("---"))
     return chapters.withColumn("front_matter", body)
 
 

@@ -64,5 +64,5 @@ def decide(pairs: DataFrame, vocab: DataFrame, keys: list[str]) -> DataFrame:
 def join_lines(c: Column) -> Column:
     """Lines joined without a vocabulary: soft hyphens vanish, after a dash, slash or hyphen no blank is put in."""
     c = F.regexp_replace(c, r"(?<=\S)\u00ad[ \t]*\n[ \t]*", "")
-    c = F.regexp_replace(c, r"(?<=[–—/-\u2010\u2011])[ \t]*\n[ \t]*", "")
+    c = F.regexp_replace(c, r"(?<=[–—/\u2010\u2011-])[ \t]*\n[ \t]*", "")
     return F.trim(F.regexp_replace(c, r"[ \t]*\n[ \t]*", " "))
