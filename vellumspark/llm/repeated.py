@@ -33,10 +33,14 @@ PAGE_WORDS = "page pages p pp pg seite seiten s pgina pginas pgs pag pgina folio
 SHARE, LEAST_PAGES, SEED_SHARE = 0.2, 4, 0.03
 
 
+DIGITS = re.compile(r"[0-9]+")
 NOT_LETTER = re.compile(r"[^a-z]+")
 OTHER_LETTERS = re.compile(r"[^\W\d_a-z]+")
 ROMAN = re.compile(r"[ivxlc]+")
-DATE_SET, PAGE_SET = frozenset(MONTHS), frozenset(PAGE_WORDS)
+PAGE_SET = frozenset(PAGE_WORDS)
+# A month counts as part of a date only beside a number.
+_NAMES = "|".join(sorted(MONTHS, key=len, reverse=True))
+DATED = re.compile(rf"(?<=\d)(?:st|nd|rd|th)?[ .,/-]*(?:de |of )?(?:{_NAMES})\b|\b(?:{_NAMES})(?=[ .,/-]*\d)")
 
 
 def key_of(raw: str | None) -> str | None:
@@ -47,9 +51,11 @@ def key_of(raw: str | None) -> str | None:
     """
     if not raw:
         return None
-    low = raw.lower()
+    low = raw.lower().replace("\u00a0", " ")
     text = low if low.isascii() else low.encode("ascii", "ignore").decode("ascii")
-    words = [w for w in NOT_LETTER.sub(" ", text).split() if w not in DATE_SET]
+    if DIGITS.search(text):
+        text = DIGITS.sub("", DATED.sub(" ", text))
+    words = NOT_LETTER.sub(" ", text).split()
     if words and ROMAN.fullmatch(words[0]):
         words = words[1:]
     if words and ROMAN.fullmatch(words[-1]):
@@ -65,9 +71,9 @@ def key_of(raw: str | None) -> str | None:
 
 
 def allowed_edits(key: Column) -> Column:
-    """Misread letters between two keys of the same line: none below 4 letters, else about an eighth, at most 8."""
+    """Misread letters between two keys of the same line: none below 4 letters, else a seventh, rounded up, at most 8."""
     n = F.length(key)
-    return F.when(n < 4, 0).otherwise(F.least(F.lit(8), F.greatest(F.lit(1), (n / 8).cast("int"))))
+    return F.when(n < 4, 0).otherwise(F.least(F.lit(8), F.ceil(n / 7).cast("int")))
 
 
 def keyed(df: DataFrame, source: str, page: str, raw: str, id_col: str | None = None, flag: Column | None = None) -> DataFrame:
@@ -106,7 +112,7 @@ def page_totals(df: DataFrame, source: str, page: str) -> DataFrame:
 
 
 def seeds(occurrences: DataFrame, totals: DataFrame, share: float = SEED_SHARE, least: int = 2) -> DataFrame:
-    """source, pages, seeds (key, edits, pieces) of keys on at least ``share`` of the pages and on ``least`` of them.
+    """source, pages, seeds (key, edits, pieces, n) of keys on at least ``share`` of the pages and on ``least`` of them.
 
     As a page holds a bounded number of lines, so does a source of seeds. A line within ``edits`` of a key holds at least
     one of its edits + 1 pieces unchanged, which is looked up before any edit distance is worked out.
@@ -116,20 +122,39 @@ def seeds(occurrences: DataFrame, totals: DataFrame, share: float = SEED_SHARE,
     edits, n = allowed_edits(F.col("key")), F.length("key")
     cut = lambda i: (n * i / (edits + 1)).cast("int")
     pieces = F.transform(F.sequence(F.lit(0), edits), lambda i: F.substring(F.col("key"), cut(i) + 1, cut(i + 1) - cut(i)))
-    seed = F.struct(F.col("key"), edits.alias("edits"), pieces.alias("pieces"))
+    seed = F.struct(F.col("key"), edits.alias("edits"), pieces.alias("pieces"), F.col("n"))
     return picked.groupBy("source").agg(F.max("pages").alias("pages"), F.array_sort(F.collect_list(seed)).alias("seeds"))
 
 
 def matched(rows: DataFrame, of: DataFrame) -> DataFrame:
-    """Rows with the seeds of their source that they equal but for misread letters, one row per seed."""
+    """Rows with seed, seed_n: the seeds of their source that they equal but for misread letters, one row per seed.
+
+    A key that is a seed itself and stands on more than half as many pages is another line of the same make, such as a
+    sentence with another noun, not a misreading.
+    """
     key = F.col("key")
+    own = lambda: F.coalesce(F.array_max(F.transform(F.filter("seeds", lambda t: t["key"] == key), lambda t: t["n"])), F.lit(0))
     near = F.filter(
         F.col("seeds"),
         lambda s: (s["key"] == key)
-        | ((F.abs(F.length(s["key"]) - F.length(key)) <= s["edits"]) & F.exists(s["pieces"], lambda p: F.contains(key, p)) & F.levenshtein(s["key"], key, 8).between(0, s["edits"])),
+        | (
+            (F.abs(F.length(s["key"]) - F.length(key)) <= s["edits"])
+            & F.exists(s["pieces"], lambda p: F.contains(key, p))
+            & F.levenshtein(s["key"], key, 8).between(0, s["edits"])
+            & (own() * 2 <= s["n"])
+        ),
     )
     both = join_measured(rows.where("key is not null"), of, ["source"])
-    return both.withColumn("near", near).where(F.size("near") > 0).withColumn("seed", F.explode("near.key")).drop("near", "seeds")
+    hits = both.withColumn("near", near).where(F.size("near") > 0).withColumn("_s", F.explode("near"))
+    return hits.withColumn("seed", F.col("_s.key")).withColumn("seed_n", F.col("_s.n")).drop("near", "seeds", "_s")
+
+
+def over(hits: DataFrame, share: float, least_pages: int) -> DataFrame:
+    """source, seed of the lines over the threshold. Of the pages asked for, the undamaged line must stand on two fifths:
+    noise spoils some lines, not most. Two levels, so that a source with a third of all pages is counted by many tasks."""
+    pages = hits.select("source", "seed", "seed_n", "page", "pages").distinct().groupBy("source", "seed").agg(F.count("*").alias("n"), F.max("pages").alias("pages"), F.max("seed_n").alias("seed_n"))
+    asked = F.col("pages") * share
+    return pages.where((F.col("n") >= asked) & (F.col("n") >= least_pages) & (F.col("seed_n") >= asked * 0.4)).select("source", "seed")
 
 
 def repeated_lines(df: DataFrame, id_col: str, source: str, page: str, raw: str, share: float = SHARE, least_pages: int = LEAST_PAGES) -> DataFrame:
@@ -142,9 +167,7 @@ def repeated_lines(df: DataFrame, id_col: str, source: str, page: str, raw: str,
     of = checkpointed(seeds(seen, page_totals(df, source, page)))
     rows = keyed(df, source, page, raw, id_col)
     hits = checkpointed(matched(rows, of))
-    # Two levels, so that a source with a third of all pages is counted by many tasks.
-    pages = hits.select("source", "seed", "page", "pages").distinct().groupBy("source", "seed").agg(F.count("*").alias("n"), F.max("pages").alias("pages"))
-    crossed = pages.where((F.col("n") >= F.col("pages") * share) & (F.col("n") >= least_pages)).select("source", "seed")
+    crossed = over(hits, share, least_pages)
     return hits.join(crossed, ["source", "seed"], "left_semi").where("id is not null").select("id").distinct()
 
 
@@ -153,9 +176,8 @@ def crossed_keys(counts: DataFrame, share: float = SHARE, least_pages: int = LEA
     totals = counts.where("key is null").groupBy("source").agg(F.count("*").alias("pages"))
     of = checkpointed(seeds(counts.where("key is not null"), totals))
     hits = checkpointed(matched(counts.where("key is not null"), of))
-    n = hits.select("source", "seed", "page", "pages").distinct().groupBy("source", "seed").agg(F.count("*").alias("n"), F.max("pages").alias("pages"))
-    crossed = n.where((F.col("n") >= F.col("pages") * share) & (F.col("n") >= least_pages))
-    return hits.join(crossed.select("source", "seed"), ["source", "seed"], "left_semi").select("source", "key").distinct()
+    crossed = over(hits, share, least_pages)
+    return hits.join(crossed, ["source", "seed"], "left_semi").select("source", "key").distinct()
 
 
 def merge_partition(state: DataFrame, before: DataFrame, lines: DataFrame, source: str, page: str, raw: str) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -71,7 +71,7 @@ def cuts(text: str, room: int, overlap: int) -> list[tuple[int, int]]:
         if s[end] == 0:
             end = start + room
         out.append((start, end))
-        back = best.query(end - overlap, end - overlap // 2) if overlap else end
+        back = best.query(end - overlap, end - overlap * 3 // 4) if overlap else end
         start = back if s[back] > 0 else end - overlap
     out.append((start, n))
     return out
