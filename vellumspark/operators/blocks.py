@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumspark.functions import text
+from vellumspark.operators.folds import fold_groups
 
 CHAPTER = ["book_id", "chapter_key"]
 _CAPTION, _BULLET, _DASH, _NUM, _ALPHA = (re.compile(p) for p in (text.CAPTION, text.BULLET, text.DASH, text.NUMBERED, text.ALPHA))
@@ -80,25 +80,31 @@ def segment_lines(lines: list[dict], body: float, gap: float, right: dict) -> li
     return out
 
 
-def segment(lines: DataFrame) -> DataFrame:
-    """book_id, chapter_key, line_id, para_no. ``lines`` has order_no, col, body, gap, right_edge beside the line's own
-    columns. One group is one chapter, which is bounded by its book."""
-    cols = ["book_id", "chapter_key", "line_id", "page", "order_no", "col", "x0", "x1", "y0", "y1", "size", "bold", "box", "raw", "body", "gap", "right_edge"]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["page", "order_no", "line_id"])
-        items = pdf.assign(size=pdf["size"].fillna(10.0), bold=pdf["bold"].map(lambda b: bool(b) if b is not None else False), raw=pdf["raw"].fillna(""), box=pdf["box"].fillna(-1)).to_dict("records")
-        right = {(r["page"], r["col"]): r["right_edge"] for r in items}
-        body, gap = float(pdf["body"].iloc[0] or 10.0), pdf["gap"].iloc[0]
-        no = segment_lines(items, body, 2.0 if pd.isna(gap) else float(gap), right)
-        return pd.DataFrame({"book_id": pdf["book_id"], "chapter_key": pdf["chapter_key"], "line_id": pdf["line_id"], "para_no": no})
+SEGMENTED = "book_id string, chapter_key string, line_id bigint, page int, order_no int, raw string, size double, bold boolean, x0 double, box int, conf double, para_no int"
 
-    return lines.select(*cols).groupBy(*CHAPTER).applyInPandas(run, "book_id string, chapter_key string, line_id bigint, para_no int")
 
-
-def paragraphs_of(lines: DataFrame, segments: DataFrame) -> DataFrame:
-    """One row per paragraph: text (lines joined), pages, size, bold, n_lines, kind, marker. Needs order_no."""
-    df = lines.join(segments, [*CHAPTER, "line_id"])
+def segment(lines: DataFrame) -> DataFrame:
+    """Lines with para_no. ``lines`` has order_no, col, body, gap, right_edge beside the line's own columns. One group is
+    one chapter, which is bounded by its book; null sizes count as the body's."""
+    cols = ["book_id", "chapter_key", "line_id", "page", "order_no", "raw", "size", "bold", "x0", "box", "conf", "x1", "y0", "y1", "col", "body", "gap", "right_edge"]
+
+    def fold(rows: list[tuple]) -> list[tuple]:
+        items = [dict(zip(cols, r)) for r in rows]
+        right = {(it["page"], it["col"]): it["right_edge"] for it in items}
+        body, gap = items[0]["body"] or 10.0, items[0]["gap"]
+        for it in items:
+            it["size"], it["bold"], it["raw"] = it["size"] or body, bool(it["bold"]), it["raw"] or ""
+            for c in ("x0", "x1", "y0", "y1"):
+                it[c] = it[c] or 0.0
+        no = segment_lines(items, body, 2.0 if gap is None else gap, right)
+        return [(*r[:9], r[9], r[10], n) for r, n in zip(rows, no)]
+
+    return fold_groups(lines.select(*cols), CHAPTER, ["page", "order_no", "line_id"], fold, SEGMENTED)
+
+
+def paragraphs_of(segmented: DataFrame) -> DataFrame:
+    """One row per paragraph: text (lines joined), pages, size, bold, n_lines, kind, marker."""
+    df = segmented
     item = F.struct("page", "order_no", "line_id", F.coalesce("raw", F.lit("")).alias("raw"))
     grouped = df.groupBy(*CHAPTER, "para_no").agg(
         F.array_sort(F.collect_list(item)).alias("items"), F.round(F.max("size"), 1).alias("size"), F.min(F.coalesce("bold", F.lit(False))).alias("bold"), F.min("x0").alias("x0"), F.max("box").alias("box"), F.min("conf").alias("conf")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections import Counter
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumspark.functions.text import norm_pattern
+from vellumspark.operators.folds import fold_groups
 
 PAGE = ["book_id", "page"]
 
@@ -139,13 +139,13 @@ def zones_of_page(items: list[tuple], height: float) -> dict:
 def assign_zones(lines: DataFrame, height: float = 842.0) -> DataFrame:
     """book_id, page, line_id, new_zone. A fold over the rows of one page, hence a grouped function; pages are small."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        items = [(r.y0, r.y1, r.x0, r.line_id, r.size, len((r.raw or "").strip())) for r in pdf.itertuples() if pd.notna(r.y0) and pd.notna(r.y1)]
+    def fold(rows: list[tuple]) -> list[tuple]:
+        items = [(y0, y1, x0, i, size, len((raw or "").strip())) for _, _, i, y0, y1, x0, size, raw in rows if y0 is not None and y1 is not None]
         zone = zones_of_page(items, height)
-        return pd.DataFrame({"book_id": pdf["book_id"], "page": pdf["page"], "line_id": pdf["line_id"], "new_zone": [zone.get(i) for i in pdf["line_id"]]})
+        return [(book, page, i, zone.get(i)) for book, page, i, *_ in rows]
 
     cols = ["book_id", "page", "line_id", "y0", "y1", "x0", "size", "raw"]
-    return lines.select(*cols).groupBy(*PAGE).applyInPandas(run, "book_id string, page int, line_id bigint, new_zone string")
+    return fold_groups(lines.select(*cols), PAGE, ["line_id"], fold, "book_id string, page int, line_id bigint, new_zone string")
 
 
 def page_order(items: list[tuple], gutter: float | None) -> list:
@@ -176,14 +176,14 @@ def page_order(items: list[tuple], gutter: float | None) -> list:
 def reading_order(lines: DataFrame, gutter: DataFrame) -> DataFrame:
     """book_id, page, line_id, order_no (from 0)."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        g = pdf["gutter"].iloc[0]
-        ok = pdf[pdf["y0"].notna() & pdf["y1"].notna()]
-        order = page_order([(r.y0, r.y1, r.x0, r.line_id, r.x1, r.zone) for r in ok.itertuples()], None if pd.isna(g) else float(g))
-        return pd.DataFrame({"book_id": pdf["book_id"].iloc[0], "page": pdf["page"].iloc[0], "line_id": order, "order_no": range(len(order))})
+    def fold(rows: list[tuple]) -> list[tuple]:
+        book, page, gap = rows[0][0], rows[0][1], rows[0][8]
+        items = [(y0, y1, x0, i, x1, zone) for _, _, i, y0, y1, x0, x1, zone, _ in rows if y0 is not None and y1 is not None]
+        return [(book, page, i, k) for k, i in enumerate(page_order(items, gap))]
 
-    cols = ["book_id", "page", "line_id", "y0", "y1", "x0", "x1", "zone"]
-    return lines.select(*cols).join(gutter, PAGE, "left").groupBy(*PAGE).applyInPandas(run, "book_id string, page int, line_id bigint, order_no int")
+    cols = ["book_id", "page", "line_id", "y0", "y1", "x0", "x1", "zone", "gutter"]
+    placed = lines.join(gutter, PAGE, "left").select(*cols)
+    return fold_groups(placed, PAGE, ["line_id"], fold, "book_id string, page int, line_id bigint, order_no int")
 
 
 def cluster_edges(df: DataFrame, keys: list[str], value: str, tolerance: float = 2.0) -> DataFrame:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumspark.functions import numeric, text
+from vellumspark.operators.folds import fold_groups
 from vellumspark.model import severity_rank
 
 CHAPTER = ["book_id", "chapter_key"]
@@ -144,8 +144,11 @@ def doubled_words(df: DataFrame, keys: list[str], column: str, most: int | None
     """keys, word, at (position): a word said twice in a row, but for had, that, is, do. ``most`` keeps the first of each
     chapter, as the report does."""
     toks = F.split(F.trim(F.regexp_replace(F.col(column), r"\s+", " ")), " ")
+    # Neighbours come from a shifted copy of the array: a lambda that reads the array again would cut the text anew for
+    # every word.
+    both = F.zip_with(toks, F.slice(toks, F.lit(2), F.greatest(F.size(toks) - 1, F.lit(0))), lambda x, y: F.struct(x.alias("word"), y.alias("next")))
     pairs = F.filter(
-        F.transform(toks, lambda x, i: F.struct(x.alias("word"), i.alias("at"), F.get(toks, i + 1).alias("next"))),
+        F.transform(both, lambda p, i: F.struct(p["word"].alias("word"), i.alias("at"), p["next"].alias("next"))),
         lambda p: (p["word"] == p["next"]) & p["word"].rlike("^[A-Za-z]{2,}$") & ~F.lower(p["word"]).isin(text.DOUBLED_EXEMPT),
     )
     out = df.where(F.col(column).isNotNull()).select(*keys, *(order or []), F.explode(pairs).alias("p")).select(*keys, *(order or []), F.col("p.word").alias("word"), F.col("p.at").alias("at"))
@@ -174,26 +177,22 @@ def number_issues(source: DataFrame, output: DataFrame) -> DataFrame:
     n_a = source.groupBy(*CHAPTER, "token").agg(F.count("*").alias("a"), F.min(F.struct("page", "ctx")).alias("first"))
     n_b = output.groupBy(*CHAPTER, "token").agg(F.count("*").alias("b"), F.min("page").alias("page_b"))
     diff = n_a.join(n_b, [*CHAPTER, "token"], "full").withColumn("d", F.coalesce("a", F.lit(0)) - F.coalesce("b", F.lit(0))).where("d <> 0")
-    diff = diff.select(*CHAPTER, "token", "d", F.coalesce("first.page", "page_b").alias("page"), numeric.clinical(F.col("token"), F.col("first.ctx")).alias("clinical"))
-
-    def pair(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("token")
-        gone = [r for r in pdf.itertuples() if r.d > 0 for _ in range(int(r.d))]
-        extra = [r for r in pdf.itertuples() if r.d < 0 for _ in range(int(-r.d))]
-        book, key = pdf["book_id"].iloc[0], pdf["chapter_key"].iloc[0]
-        rows = []
-        for r in gone:
-            k = next((i for i, u in enumerate(extra) if numeric.is_similar(r.token, u.token)), None)
+    diff = diff.select(*CHAPTER, "token", F.col("d").cast("int").alias("d"), F.coalesce("first.page", "page_b").alias("page"), F.coalesce(numeric.clinical(F.col("token"), F.col("first.ctx")), F.lit(False)).alias("clinical"))
+
+    def fold(rows: list[tuple]) -> list[tuple]:
+        book, key = rows[0][:2]
+        gone = [r for r in rows if r[3] > 0 for _ in range(r[3])]
+        extra = [r for r in rows if r[3] < 0 for _ in range(-r[3])]
+        out = []
+        for _, _, token, _, page, clinical in gone:
+            k = next((i for i, u in enumerate(extra) if numeric.is_similar(token, u[2])), None)
             if k is None:
-                rows.append((book, key, "HIGH" if r.clinical else "MEDIUM", "MISSING_NUMBER", r.token, None, r.page))
+                out.append((book, key, "HIGH" if clinical else "MEDIUM", "MISSING_NUMBER", token, None, page))
             else:
-                u = extra.pop(k)
-                rows.append((book, key, "CRITICAL" if r.clinical else "HIGH", "CHANGED_NUMBER", r.token, u.token, r.page))
-        rows += [(book, key, "MEDIUM", "UNEXPECTED_NUMBER", None, u.token, u.page) for u in extra]
-        out = pd.DataFrame(rows, columns=["book_id", "chapter_key", "severity", "code", "source", "output", "page"])
-        return out.astype({"page": "Int32"})
+                out.append((book, key, "CRITICAL" if clinical else "HIGH", "CHANGED_NUMBER", token, extra.pop(k)[2], page))
+        return out + [(book, key, "MEDIUM", "UNEXPECTED_NUMBER", None, u[2], u[4]) for u in extra]
 
-    return diff.groupBy(*CHAPTER).applyInPandas(pair, "book_id string, chapter_key string, severity string, code string, source string, output string, page int")
+    return fold_groups(diff, CHAPTER, ["token"], fold, "book_id string, chapter_key string, severity string, code string, source string, output string, page int")
 
 
 def status_of(issues: DataFrame, chapters: DataFrame, failed: DataFrame | None = None) -> DataFrame:

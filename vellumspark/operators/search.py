@@ -55,20 +55,17 @@ def lengths(units: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
 
 def matches(units: DataFrame, id_col: str, columns: list[str], term: Term) -> DataFrame:
     """unit_id, col, n: how often a term, phrase or prefix stands in a column. Positions need no join: the tokens of a
-    row are an array, and a phrase is a comparison of slices of it."""
+    row are at hand, one after the other."""
     out = []
     for i, c in enumerate(columns):
         toks = tokens_of(F.col(c))
-
-        def hit(k: int, x: Column, last: bool) -> Column:
-            return x.startswith(term.words[k]) if last and term.prefix else x == F.lit(term.words[k])
-
-        if len(term.words) == 1:
-            n = F.size(F.filter(toks, lambda x: hit(0, x, True)))
+        words, last = term.words, term.words[-1]
+        if len(words) == 1:
+            n = F.size(F.filter(toks, lambda x: x.startswith(last) if term.prefix else x == F.lit(last)))
         else:
-            size = len(term.words)
-            same = lambda x, j: reduce(Column.__and__, [hit(k, F.get(toks, j + k), k == size - 1) for k in range(size)])
-            n = F.size(F.filter(toks, lambda x, j: F.coalesce(same(x, j), F.lit(False))))
+            # Tokens with single blanks between, so that a phrase is a pattern; matches without width may overlap.
+            flat = F.concat(F.lit(" "), F.array_join(toks, " "), F.lit(" "))
+            n = F.regexp_count(flat, F.lit("(?<= )(?=" + " ".join(words) + ("" if term.prefix else " ") + ")"))
         # A plain substring test first: rows without the word are dropped before they are cut into tokens.
         rough = reduce(Column.__and__, [F.lower(F.col(c)).contains(w) for w in term.words])
         out.append(units.where(rough).select(F.col(id_col).alias("unit_id"), F.lit(i).alias("col"), n.cast("bigint").alias("n")).where("n > 0"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["text_queries", "layout_queries", "document_queries"]
+MODULES = ["text_queries", "layout_queries", "document_queries", "record_queries"]
 
 
 def _modules():

@@ -10,7 +10,7 @@ from vellumspark.operators import chapters as C
 from vellumspark.operators import layout as L
 from vellumspark.operators import qa
 from vellumspark.plans.common import BLOCKS, CHAPTERS, LINES, PARAS, blocks, chapters, lines, paras
-from vellumspark.session import table
+from vellumspark.session import checkpointed, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -150,23 +150,23 @@ def f7_table_quality(spark, d):
 
 
 def _paragraphs(spark, d):
-    ls = L.without_running(lines(spark, d)).where("not removed").withColumn("zone", F.col("kept_zone")).drop("removed", "kept_zone")
-    g = L.gutters(ls)
-    order = L.reading_order(ls, g)
-    placed = L.with_columns(ls.join(order, ["book_id", "page", "line_id"]), g)
+    kept = L.without_running(lines(spark, d)).where("not removed").withColumn("zone", F.col("kept_zone"))
+    # Read six times below: the cleaned lines are written once instead of joined anew each time.
+    ls = checkpointed(kept.drop("removed", "kept_zone"))
+    g = checkpointed(L.gutters(ls))
+    placed = checkpointed(L.with_columns(ls.join(L.reading_order(ls, g), ["book_id", "page", "line_id"]), g))
     full = placed.join(L.body_size(ls, ["book_id"]), "book_id").join(L.line_gap(ls, ["book_id", "chapter_key"]), ["book_id", "chapter_key"], "left").join(L.column_edges(placed), ["book_id", "page", "col"])
-    return placed, B.segment(full)
+    return B.segment(full)
 
 
 @query()
 def h2_paragraph_segments(spark, d):
-    return _paragraphs(spark, d)[1]
+    return _paragraphs(spark, d).select("book_id", "chapter_key", "line_id", "para_no")
 
 
 @query()
 def h2_paragraphs(spark, d):
-    placed, seg = _paragraphs(spark, d)
-    return B.paragraphs_of(placed, seg)
+    return B.paragraphs_of(_paragraphs(spark, d))
 
 
 CONF_SQL = rf"""WITH {PARAS}, {LINES}, body AS (SELECT book_id, body FROM (SELECT book_id, body, row_number() OVER (PARTITION BY book_id ORDER BY n DESC, body) AS k FROM
