@@ -70,10 +70,86 @@ def key_of(raw: str | None) -> str | None:
     return key
 
 
-def allowed_edits(key: Column) -> Column:
-    """Misread letters between two keys of the same line: none below 4 letters, else a seventh, rounded up, at most 8."""
-    n = F.length(key)
-    return F.when(n < 4, 0).otherwise(F.least(F.lit(8), F.ceil(n / 7).cast("int")))
+def allowed_edits(n: int) -> int:
+    """Misread letters between a key of ``n`` letters and the same line: none below 4, else a seventh, rounded up, at most 8."""
+    return 0 if n < 4 else min(8, -(-n // 7))
+
+
+def pieces_of(seed: str, most: int) -> list[str]:
+    """The seed cut into most + 1 pieces; what differs from it in at most ``most`` places holds one of them unchanged."""
+    n, k = len(seed), most + 1
+    return [seed[n * i // k : n * (i + 1) // k] for i in range(k)]
+
+
+def edits(a: str, b: str, most: int) -> int:
+    """Edit distance, worked out up to ``most``; above that, most + 1. What both begin and end with is left out first."""
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    n, m = len(a), len(b)
+    i = 0
+    least = min(n, m)
+    while i < least and a[i] == b[i]:
+        i += 1
+    while n > i and m > i and a[n - 1] == b[m - 1]:
+        n, m = n - 1, m - 1
+    a, b = a[i:n], b[i:m]
+    if not a or not b:
+        return max(len(a), len(b))
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        lo, hi = max(1, i - most), min(len(b), i + most)
+        if lo > 1:
+            row[lo - 1], last = most + 1, row[lo - 1]
+        best = row[lo - 1] if lo > 1 else i
+        for j in range(lo, hi + 1):
+            here = last if x == b[j - 1] else 1 + min(last, row[j], row[j - 1])
+            last, row[j] = row[j], here
+            best = min(best, here)
+        if hi < len(b):
+            row[hi + 1] = most + 1
+        if best > most:
+            return most + 1
+    return row[len(b)]
+
+
+def pairs_of(key: str) -> set[str]:
+    return {key[i : i + 2] for i in range(len(key) - 1)}
+
+
+class Seeds:
+    """Keys of one source that stand on several pages, and which of them a key is a misreading of."""
+
+    def __init__(self, text: str) -> None:
+        self.n: dict[str, int] = {}
+        self.by_length: dict[int, list[tuple[str, int, list[str], set[str]]]] = {}
+        for line in text.split("\n"):
+            n, _, key = line.partition(" ")
+            self.n[key] = int(n)
+            most = allowed_edits(len(key))
+            self.by_length.setdefault(len(key), []).append((key, most, pieces_of(key, most), pairs_of(key)))
+        self.seen: dict[str, list[str]] = {}
+
+    def near(self, key: str) -> list[str]:
+        """Seeds that the key equals but for misread letters.
+
+        A key that is a seed itself and stands on more than half as many pages is another line of the same make, such as
+        a sentence with another noun, not a misreading. A piece of the seed must be unchanged, and an edit touches two
+        pairs of letters at most, so distances are worked out for few.
+        """
+        hit = self.seen.get(key)
+        if hit is None:
+            own, size, pairs = self.n.get(key, 0), len(key), None
+            hit = [key] if own else []
+            for n in range(size - 8, size + 9):
+                for s, most, pieces, own_pairs in self.by_length.get(n, ()):
+                    if abs(n - size) <= most and s != key and own * 2 <= self.n[s] and any(p in key for p in pieces):
+                        pairs = pairs or pairs_of(key)
+                        if len(own_pairs - pairs) <= 2 * most and edits(s, key, most) <= most:
+                            hit.append(s)
+            if hit:
+                self.seen[key] = hit
+        return hit
 
 
 def keyed(df: DataFrame, source: str, page: str, raw: str, id_col: str | None = None, flag: Column | None = None) -> DataFrame:
@@ -112,41 +188,41 @@ def page_totals(df: DataFrame, source: str, page: str) -> DataFrame:
 
 
 def seeds(occurrences: DataFrame, totals: DataFrame, share: float = SEED_SHARE, least: int = 2) -> DataFrame:
-    """source, pages, seeds (key, edits, pieces, n) of keys on at least ``share`` of the pages and on ``least`` of them.
-
-    As a page holds a bounded number of lines, so does a source of seeds. A line within ``edits`` of a key holds at least
-    one of its edits + 1 pieces unchanged, which is looked up before any edit distance is worked out.
-    """
+    """source, pages, seeds: keys on at least ``share`` of the pages and on ``least`` of them, with their numbers of pages,
+    as one string. As a page holds a bounded number of lines, so does a source of seeds."""
     often = occurrences.groupBy("source", "key").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     picked = often.join(totals, "source").where(F.col("n") >= F.col("pages") * share)
-    edits, n = allowed_edits(F.col("key")), F.length("key")
-    cut = lambda i: (n * i / (edits + 1)).cast("int")
-    pieces = F.transform(F.sequence(F.lit(0), edits), lambda i: F.substring(F.col("key"), cut(i) + 1, cut(i + 1) - cut(i)))
-    seed = F.struct(F.col("key"), edits.alias("edits"), pieces.alias("pieces"), F.col("n"))
-    return picked.groupBy("source").agg(F.max("pages").alias("pages"), F.array_sort(F.collect_list(seed)).alias("seeds"))
+    seed = F.concat_ws(" ", F.col("n").cast("string"), "key")
+    return picked.groupBy("source").agg(F.max("pages").alias("pages"), F.array_join(F.array_sort(F.collect_list(seed)), "\n").alias("seeds"))
 
 
-def matched(rows: DataFrame, of: DataFrame) -> DataFrame:
-    """Rows with seed, seed_n: the seeds of their source that they equal but for misread letters, one row per seed.
+def matched(rows: DataFrame, of: DataFrame, is_key: bool = False) -> DataFrame:
+    """source, page, id, key, seed, seed_n, pages of the rows (source, page, id, text) that are near a seed, one row per seed.
 
-    A key that is a seed itself and stands on more than half as many pages is another line of the same make, such as a
-    sentence with another noun, not a misreading.
+    Text is a line or, with ``is_key``, its key. Keys are made and compared in the same pass over Arrow batches; the seeds
+    come along by a join, broadcast if their size, which is measured, allows.
     """
-    key = F.col("key")
-    own = lambda: F.coalesce(F.array_max(F.transform(F.filter("seeds", lambda t: t["key"] == key), lambda t: t["n"])), F.lit(0))
-    near = F.filter(
-        F.col("seeds"),
-        lambda s: (s["key"] == key)
-        | (
-            (F.abs(F.length(s["key"]) - F.length(key)) <= s["edits"])
-            & F.exists(s["pieces"], lambda p: F.contains(key, p))
-            & F.levenshtein(s["key"], key, 8).between(0, s["edits"])
-            & (own() * 2 <= s["n"])
-        ),
-    )
-    both = join_measured(rows.where("key is not null"), of, ["source"])
-    hits = both.withColumn("near", near).where(F.size("near") > 0).withColumn("_s", F.explode("near"))
-    return hits.withColumn("seed", F.col("_s.key")).withColumn("seed_n", F.col("_s.n")).drop("near", "seeds", "_s")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, Seeds] = {}
+        for b in batches:
+            out = []
+            for source, page, i, text, pages, packed in zip(*(b[c].tolist() for c in ("source", "page", "id", "text", "pages", "seeds"))):
+                key = text if is_key else key_of(text)
+                if key is None:
+                    continue
+                seeds_here = held.get(source)
+                if seeds_here is None:
+                    if len(held) >= 2000:
+                        held.clear()
+                    seeds_here = held[source] = Seeds(packed)
+                out += [(source, page, i, key, s, seeds_here.n[s], pages) for s in seeds_here.near(key)]
+            found = pd.DataFrame(out, columns=["source", "page", "id", "key", "seed", "seed_n", "pages"])
+            found["id"] = found["id"].astype("Int64")
+            yield found
+
+    both = join_measured(rows.where("text is not null"), of, ["source"]).select("source", "page", "id", "text", "pages", "seeds")
+    return both.mapInPandas(run, "source string, page bigint, id bigint, key string, seed string, seed_n bigint, pages bigint")
 
 
 def over(hits: DataFrame, share: float, least_pages: int) -> DataFrame:
@@ -160,13 +236,13 @@ def over(hits: DataFrame, share: float, least_pages: int) -> DataFrame:
 def repeated_lines(df: DataFrame, id_col: str, source: str, page: str, raw: str, share: float = SHARE, least_pages: int = LEAST_PAGES) -> DataFrame:
     """id of every line that stands on at least ``share`` of the distinct pages of its source and on ``least_pages``.
 
-    A row without source, page or text is never repeated; equal identifiers come out once; bare page numbers are left
+    A row without identifier, source, page or text is never repeated; equal identifiers come out once; bare page numbers are left
     out; an empty table gives no rows. Only columns named are used, so further columns may have any name.
     """
     seen = keyed(df, source, page, raw).where("key is not null").distinct()
     of = checkpointed(seeds(seen, page_totals(df, source, page)))
-    rows = keyed(df, source, page, raw, id_col)
-    hits = checkpointed(matched(rows, of))
+    rows = df.select(F.col(source).cast("string").alias("source"), F.col(page).cast("bigint").alias("page"), F.col(id_col).cast("bigint").alias("id"), F.col(raw).cast("string").alias("text"))
+    hits = checkpointed(matched(rows.where("source is not null and page is not null and id is not null"), of))
     crossed = over(hits, share, least_pages)
     return hits.join(crossed, ["source", "seed"], "left_semi").where("id is not null").select("id").distinct()
 
@@ -175,7 +251,8 @@ def crossed_keys(counts: DataFrame, share: float = SHARE, least_pages: int = LEA
     """source, key of the lines over the threshold, from a count table alone (no original lines are read)."""
     totals = counts.where("key is null").groupBy("source").agg(F.count("*").alias("pages"))
     of = checkpointed(seeds(counts.where("key is not null"), totals))
-    hits = checkpointed(matched(counts.where("key is not null"), of))
+    rows = counts.where("key is not null").select("source", "page", F.lit(None).cast("bigint").alias("id"), F.col("key").alias("text"))
+    hits = checkpointed(matched(rows, of, is_key=True))
     crossed = over(hits, share, least_pages)
     return hits.join(crossed, ["source", "seed"], "left_semi").select("source", "key").distinct()
 
