@@ -23,6 +23,7 @@ from vellumspark.llm.worker import new_key, per_worker
 LABELLED_MOST = 20_000
 LEAST_DOCS = 2
 LEAST_WORDS = 4
+LEAST_SENTENCES = 2
 WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 SENTENCE = re.compile(r"(?<=[.!?…])[\"”’»)\]]*\s+|\n+")
 
@@ -73,7 +74,8 @@ class Lexicon:
             s = max(row, key=lambda i: (row[i], -i))
             if row[s] >= self.least:
                 wins[s] += 1
-        return {s: n / len(sentences) for s, n in wins.items()}
+        enough = min(LEAST_SENTENCES, sum(wins.values()))  # one sentence in passing, beside others, is no subject
+        return {s: n / len(sentences) for s, n in wins.items() if n >= enough}
 
 
 def curate(counts: dict[str, dict[str, int]], docs: dict[str, int], notes: dict[str, str], subjects: list[str]) -> Lexicon:
