@@ -87,3 +87,14 @@ def test_boosting_learns():
     m = Boosted(rounds=30).fit(x, y)
     assert sum((m.chance(r) > 0.5) == t for r, t in zip(x, y)) > 780
     assert Boosted().fit([[0.0]], [1]).chance([5.0]) > 0.9
+
+
+@pytest.mark.parametrize("times", [1, 20, 400])
+def test_size_of_the_collection_does_not_matter(times):
+    counts = {w: 40 for w in TEXT} | {"1866": 79, "l866": 6, "l02": 30, "102": 15, "consti-tutional": 3, "well-known": 30}
+    c = S.Corrector(S.Words([(w, n * times, 0, 0) for w, n in sorted(counts.items()) if n * times >= S.LEAST_COUNT], S.TOKENIZER)).train()
+    r = S.Repairer(c)
+    assert r.token("l866,") == "1866" and r.token("l02") is None
+    text, found = r.text("the consti-tutional damages of a well-known l02 in l866", None, True, True)
+    assert text == "the constitutional damages of a well-known l02 in 1866"
+    assert found == [("misread", "1866"), ("broken_word", "constitutional")]

@@ -32,6 +32,7 @@ LEAST_COUNT, LEAST_SHARE = 15, 2e-6  # of a word of the vocabulary; the share bo
 TRAINING_WORDS = 1500
 LEAST_TAUGHT = 40
 ACCEPT = 0.3
+RARER, RARER_MARKS = 12, 5  # times that a misread word, or a misread number or cut compound, is rarer than its right form
 BAND, EDGE_SHARE = 0.05, 0.6
 HYPHENS = "-\u2010\u2011\u00ad\u00ac"
 RUN = re.compile(r"[^\W_]+")
@@ -210,20 +211,27 @@ class Corrector:
         return max(rows) if rows else None
 
     def correct(self, word: str) -> str | None:
-        """The right form of a misread lower-case word, or null. Words the collection knows well stand as they are."""
+        """The right form of a misread lower-case word, or null. A word stands as it is unless its right form is much more
+        frequent; shares are compared, so the size of the collection does not matter."""
         if word in self.seen:
             return self.seen[word]
         if len(self.seen) > 400_000:
             self.seen.clear()
         n = self.words.n.get(word, 0)
         hit = None
-        if len(word) <= 40 and not (word in self.words.real and word.isalpha() and n > 40 * LEAST_COUNT):
+        if len(word) <= 40:
             top = self.best(word, n)
-            if top and top[0] >= ACCEPT and self.words.real[top[1]] >= 12 * n:
+            if top and top[0] >= ACCEPT and self.words.real[top[1]] >= RARER * n:
                 hit = top[1]
         self.seen[word] = hit
         return hit
 
+    def stands(self, form: str, right: str) -> bool:
+        """Whether a form of the vocabulary is one of its own (a code, a compound) and not a damaged ``right``, which would
+        be much more frequent."""
+        n = self.words.n.get(form, 0)
+        return n > 0 and self.words.n.get(right, 0) < RARER_MARKS * n
+
     def pair_row(self, a: str, b: str) -> list[float]:
         n, low_a, low_b = self.words.n, a.lower(), b.lower()
         whole, kept = n.get(low_a + low_b, 0), n.get(f"{low_a}-{low_b}", 0)
@@ -448,9 +456,8 @@ class Repairer:
         letters = sum(ch.isalpha() or ch in "|!" for ch in core)
         digits = sum(ch.isdigit() for ch in core)
         if digits and letters and NUMBER.fullmatch(core) and core[0] not in "BGZbgzq" and (digits >= letters or core[0] in "lIiO|") and not core.isalpha():
-            if self.c.words.n.get(core.lower(), 0) < LEAST_COUNT:
-                return "".join(DIGIT_OF.get(ch, ch) for ch in core)
-            return None
+            number = "".join(DIGIT_OF.get(ch, ch) for ch in core)
+            return None if self.c.stands(core.lower(), number) else number
         changed, out, at = False, [], 0
         for m in MIXED_RUN.finditer(core):
             run = m[0].lower()
@@ -491,7 +498,7 @@ class Repairer:
         if inner:
             def close(m: re.Match) -> str:
                 low = (m[1] + m[2]).lower()
-                if self.c.words.n.get(f"{m[1]}-{m[2]}".lower(), 0) < LEAST_COUNT and self.c.joined(m[1], m[2]):
+                if not self.c.stands(f"{m[1]}-{m[2]}".lower(), low) and self.c.joined(m[1], m[2]):
                     joined.add(low)
                     return m[1] + m[2]
                 return m[0]
