@@ -98,3 +98,14 @@ def test_size_of_the_collection_does_not_matter(times):
     text, found = r.text("the consti-tutional damages of a well-known l02 in l866", None, True, True)
     assert text == "the constitutional damages of a well-known l02 in 1866"
     assert found == [("misread", "1866"), ("broken_word", "constitutional")]
+
+
+def test_short_words_stand_alone(spark):
+    line = "the tax on each ore and the low-cost contract of a judge; docu- ent the peti-\nent of the ent-\nent be at rest"
+    df = spark.createDataFrame([(" ".join([line, *TEXT]),)] * 40, "text string")
+    c = S.learn(df)
+    assert {"tax", "ore", "low"} <= set(c.words.real) and "ent" not in c.words.real
+    counts = {w: 300 for w in TEXT} | {"tax": 206, "ore": 181, "be": 7000}
+    words = S.Words([(w, n, 0, 0) for w, n in sorted(counts.items())], S.TOKENIZER, alone=counts)
+    r = S.Repairer(S.Corrector(words).train())
+    assert [r.token(x) for x in ("fax", "bc", "BC", "au")] == ["tax", "be", None, None]

@@ -32,10 +32,13 @@ LEAST_COUNT, LEAST_SHARE = 15, 2e-6  # of a word of the vocabulary; the share bo
 TRAINING_WORDS = 1500
 LEAST_TAUGHT = 40
 ACCEPT = 0.3
+ALONE_SHARE = 0.5  # of the occurrences of a word of up to three letters; parts of words seldom stand alone
 RARER, RARER_MARKS = 12, 5  # times that a misread word, or a misread number or cut compound, is rarer than its right form
 BAND, EDGE_SHARE = 0.05, 0.6
 HYPHENS = "-\u2010\u2011\u00ad\u00ac"
 RUN = re.compile(r"[^\W_]+")
+# A word of two or three letters between blanks; what follows a hyphen and a blank is the rest of a cut word.
+ALONE = re.compile(rf"(?<![{HYPHENS}]\s)(?<![^\s(\"'“„«\[])[^\W\d_]{{2,3}}(?=[.,;:!?)\"'”“»\]]*(?:\s|$))")
 COMPOUND = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)+")
 TOKEN = re.compile(r"\S+")
 CUT = re.compile(rf"[{HYPHENS}][ \t]*\n[ \t]*(?=[^\W_])")
@@ -115,9 +118,13 @@ class Words:
     coined terms. Public tokenizers hold long pieces of real words only, so pieces a letter give first labels, from
     which a naive Bayes model over character n-grams is trained and trained again on its own labels."""
 
-    def __init__(self, rows: list[tuple[str, int, int, int]], tokenizer: str, least: float = LEAST_COUNT) -> None:
+    def __init__(self, rows: list[tuple[str, int, int, int]], tokenizer: str, least: float = LEAST_COUNT, alone: dict[str, int] | None = None) -> None:
         self.least = least
         self.n = {w: n for w, n, _, _ in rows}
+        self.alone = Counter(alone or {})
+        for w, n in self.n.items():
+            if "-" in w and self.n.get(w.replace("-", ""), 0) < RARER_MARKS * n:  # parts of compounds are words too
+                self.alone.update({part: n for part in w.split("-")})
         enc = encoder(tokenizer)
         plain = [(w, c / n, f / n) for w, n, c, f in rows if w.isalpha()]
         pieces = {w: min(len(enc.encode_ordinary(" " + w)), len(enc.encode_ordinary(" " + w.capitalize()))) / len(w) for w, _, _ in plain}
@@ -135,8 +142,8 @@ class Words:
 
     def is_real(self, word: str, capital: float, foreign: float, pieces: float) -> bool:
         """Names and coined terms stand in sentences of any language; a word is at home in one of them."""
-        if len(word) <= 3:  # parts of words are as short, but none is as frequent as an article
-            return pieces <= 0.5 and self.n[word] >= 40 * self.least
+        if len(word) <= 3:  # parts of words are as short, but do not stand alone
+            return pieces <= 0.5 and self.alone[word] >= max(self.least, ALONE_SHARE * self.n[word])
         if not self.taught:
             return pieces <= 0.34
         score = self.score(word)
@@ -299,26 +306,32 @@ def misread(word: str, rng: random.Random) -> str:
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """word (lower case, compounds with their hyphen too), n, n_capital, n_foreign, pre-aggregated in each map task."""
+    """word (lower case, compounds with their hyphen too), n, n_capital, n_foreign, n_alone (of words of two or three
+    letters, between blanks), pre-aggregated in each map task."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         home: Counter = Counter()
         away: Counter = Counter()
+        alone: Counter = Counter()
 
         def flush() -> pd.DataFrame:
             low: dict[str, list[int]] = {}
             for held, foreign in ((home, 0), (away, 1)):
                 for w, n in held.items():
-                    row = low.setdefault(w.lower(), [0, 0, 0])
+                    row = low.setdefault(w.lower(), [0, 0, 0, 0])
                     row[0] += n
                     row[1] += n if w[0].isupper() else 0
                     row[2] += n * foreign
                 held.clear()
-            return pd.DataFrame([(w, *v) for w, v in low.items()], columns=["word", "n", "n_capital", "n_foreign"])
+            for w, n in alone.items():
+                low.setdefault(w.lower(), [0, 0, 0, 0])[3] += n
+            alone.clear()
+            return pd.DataFrame([(w, *v) for w, v in low.items()], columns=["word", "n", "n_capital", "n_foreign", "n_alone"])
 
         for b in batches:
             for text in b["text"].tolist():
                 text = clean_marks(text)
+                alone.update(ALONE.findall(text))
                 words = RUN.findall(text)
                 if FOREIGN.isdisjoint(words):
                     home.update(words)
@@ -332,8 +345,8 @@ def word_counts(texts: DataFrame) -> DataFrame:
                 yield flush()
         yield flush()
 
-    rows = texts.where("text is not null").mapInPandas(run, "word string, n bigint, n_capital bigint, n_foreign bigint")
-    return rows.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", "n_capital", "n_foreign")])
+    rows = texts.where("text is not null").mapInPandas(run, "word string, n bigint, n_capital bigint, n_foreign bigint, n_alone bigint")
+    return rows.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", "n_capital", "n_foreign", "n_alone")])
 
 
 MARKS = re.compile("[" + "".join(map(chr, (*INVISIBLE, *LIGATURES))) + "]")
@@ -352,8 +365,9 @@ def learn(texts: DataFrame, tokenizer: str = TOKENIZER) -> Corrector:
     counted = checkpointed(word_counts(texts))
     total = counted.agg(F.sum("n").alias("n")).first()["n"] or 0
     least = max(LEAST_COUNT, total * LEAST_SHARE)
-    rows = counted.where(F.col("n") >= least).orderBy("word").toLocalIterator()
-    return Corrector(Words([(r["word"], r["n"], r["n_capital"], r["n_foreign"]) for r in rows], tokenizer, least)).train()
+    rows = list(counted.where(F.col("n") >= least).orderBy("word").toLocalIterator())
+    alone = {r["word"]: r["n_alone"] for r in rows if r["n_alone"]}
+    return Corrector(Words([(r["word"], r["n"], r["n_capital"], r["n_foreign"]) for r in rows], tokenizer, least, alone)).train()
 
 
 def edge_keys(lines: DataFrame, source: str, page: str, raw: str, y: str) -> DataFrame:
@@ -462,7 +476,8 @@ class Repairer:
         for m in MIXED_RUN.finditer(core):
             run = m[0].lower()
             fixed = None
-            if len(run) >= 3 or (len(run) == 2 and not run.isalpha() and not run.isdigit()):
+            # Two letters are looked up where they are a word to themselves and no abbreviation or foreign word.
+            if len(run) >= 3 or (len(run) == 2 and (not run.isalpha() or (m[0] == core and core.islower() and run not in FOREIGN))):
                 if not run.isdigit():
                     fixed = self.c.correct(run)
             out += [core[at : m.start()], fixed or m[0]]
