@@ -109,3 +109,10 @@ def test_short_words_stand_alone(spark):
     words = S.Words([(w, n, 0, 0) for w, n in sorted(counts.items())], S.TOKENIZER, alone=counts)
     r = S.Repairer(S.Corrector(words).train())
     assert [r.token(x) for x in ("fax", "bc", "BC", "au")] == ["tax", "be", None, None]
+
+
+def test_no_candidate_is_cut_off():
+    words = S.Words([], S.TOKENIZER)
+    words.real = {a + b + c + d: 50 for a in "ce" for b in "nu" for c in "ft" for d in "gq" if a + b + c + d != "cnfg"}
+    near = {w for w in words.real if S.look_cost("cnfg", w) < 1}
+    assert len(near) == 10 and {w for _, _, w in S.Corrector(words).candidates("cnfg")} == near
