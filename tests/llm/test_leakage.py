@@ -50,3 +50,13 @@ def test_empty(spark):
 
 def test_damaged_encoding_and_layout_change_nothing():
     assert leakage.tokens_of("Keldúñez’s ﬁne con-\ntract") == leakage.tokens_of("KeldÃºÃ±ezâ€™s fine contract")
+
+
+def test_every_place_is_checked():
+    words = [f"{a}{b}" for a in "bcdfg" for b in "aeiou"][:14]
+    q = " ".join(words)
+    index = leakage.Index([(1, None, q)])
+    false = " ".join(" ".join(words[k : k + 4]) + " x" * 40 for k in (0, 3, 6, 9) * 20)  # stronger than the true place has it
+    true = " ".join(f"{w} y" if k % 4 == 3 else w for k, w in enumerate(words))  # inserted words split its votes
+    for text in (f"{false} {true}", f"{true} {false}"):
+        assert [(i, s) for i, _, s in index.scan(text, 0.42, 0.8)] == [(1, 1.0)]

@@ -133,19 +133,35 @@ class Index:
         at = at[(at < len(self.hashes)) & (self.hashes[np.minimum(at, len(self.hashes) - 1)] == h)]
         return Counter(np.concatenate([self.owners[self.first[a] : self.last[a]] for a in at]).tolist()) if len(at) else Counter()
 
-    def held(self, sentence: np.ndarray, where: dict[int, list[int]], weighted: bool) -> float:
-        """Share of the sentence's tokens that stand in one place of the document in nearly the same order."""
+    @staticmethod
+    def places(tokens: list[tuple[int, list[int]]], w: np.ndarray, slack: int, least: float) -> list[tuple[float, int]]:
+        """(most, diagonal) of every diagonal that a token stands on and that could hold ``least`` of the weight, the most
+        first: a token counts where it stands within the slack, whatever its order."""
+        off = len(w) + slack
+        gain = np.zeros(max(at[-1] for _, at in tokens) + off + slack + 2)
+        stood = np.zeros(len(gain), bool)
+        for i, at in tokens:
+            d = np.array(at) - i + off
+            stood[d] = True
+            gain[d - slack] += w[i]
+            gain[np.minimum(d + slack + 1, np.append(d[1:] - slack, len(gain)))] -= w[i]
+        most = np.cumsum(gain) / w.sum()
+        d = np.flatnonzero(stood & (most >= least - 1e-9))
+        d = d[np.argsort(-most[d], kind="stable")]
+        return list(zip(most[d].tolist(), (d - off).tolist()))
+
+    def held(self, sentence: np.ndarray, where: dict[int, list[int]], weighted: bool, least: float = SENTENCE_SHARE) -> float:
+        """Share of the sentence's tokens that stand in one place of the document in nearly the same order; 0 if no place
+        can hold ``least``."""
         tokens = [(i, where[t]) for i, t in enumerate(sentence.tolist()) if t in where]
-        # Tokens that are frequent in the document say little about the place; they vote if there are no others.
-        telling = [x for x in tokens if len(x[1]) <= 24]
-        votes: Counter = Counter(j - i for i, at in (telling if len(telling) * 4 > len(sentence) else tokens) for j in at)
-        if not votes:
+        if not tokens:
             return 0.0
         w = self.weight[sentence] if weighted else np.ones(len(sentence))
         best = 0.0
         slack = 2 + len(sentence) // 8
-        top = sorted({d for d, _ in votes.most_common(12)})
-        for d in top:
+        for most, d in self.places(tokens, w, slack, least):
+            if most <= best:
+                break
             got = np.zeros(len(sentence), bool)
             last = -1
             for i, at in tokens:  # in order, along the diagonal, with some slack for changed words
@@ -161,11 +177,11 @@ class Index:
             best = max(best, float(w[got].sum() / w.sum()))
         return best
 
-    def check(self, k: int, where: dict[int, list[int]]) -> float:
+    def check(self, k: int, where: dict[int, list[int]], question_share: float = QUESTION_SHARE) -> float:
         """Of a passage the share of its tokens in held sentences, of a question the weighted share that is held."""
         _, is_passage, sentences = self.units[k]
         if not is_passage:
-            return self.held(sentences[0], where, True)
+            return self.held(sentences[0], where, True, question_share)
         total = sum(map(len, sentences))
         shares = [self.held(s, where, True) for s in sentences]
         return sum(len(s) * min(1.0, x / 0.95) for s, x in zip(sentences, shares) if x >= SENTENCE_SHARE) / total
@@ -184,7 +200,7 @@ class Index:
                     for j, t in enumerate(ids.tolist()):
                         if t >= 0:
                             where[t].append(j)
-                share = self.check(k, where)
+                share = self.check(k, where, question_share)
                 if share >= (passage_share if is_passage else question_share):
                     found += [(item, is_passage, share) for item in self.items_of[k]]
         return found
