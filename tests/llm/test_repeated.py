@@ -65,3 +65,11 @@ def test_increments_equal_the_whole(spark):
     assert [r["key"] for r in keys.collect()] == ["sharethissection"] == [r["key"] for r in R.crossed_keys(whole).collect()]
     # the new pages, and the two old ones with the line that has crossed the threshold
     assert {r["page"] for r in rebuild.collect()} == {11, 12, *range(13, 21)}
+
+
+def test_repeated_lines_come_from_the_count_table(spark, monkeypatch):
+    asked = []
+    merge = R.merge_partition
+    monkeypatch.setattr(R, "merge_partition", lambda *a: asked.append(1) or merge(*a))
+    df = lines(spark, [(p, "b", p, "Share this section") for p in range(1, 9)])
+    assert R.repeated_lines(df, "line_id", "book_id", "page", "raw").count() == 8 and asked

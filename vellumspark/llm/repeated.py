@@ -239,12 +239,10 @@ def repeated_lines(df: DataFrame, id_col: str, source: str, page: str, raw: str,
     A row without identifier, source, page or text is never repeated; equal identifiers come out once; bare page numbers are left
     out; an empty table gives no rows. Only columns named are used, so further columns may have any name.
     """
-    seen = keyed(df, source, page, raw).where("key is not null").distinct()
-    of = checkpointed(seeds(seen, page_totals(df, source, page)))
-    rows = df.select(F.col(source).cast("string").alias("source"), F.col(page).cast("bigint").alias("page"), F.col(id_col).cast("bigint").alias("id"), F.col(raw).cast("string").alias("text"))
-    hits = checkpointed(matched(rows.where("source is not null and page is not null and id is not null"), of))
-    crossed = over(hits, share, least_pages)
-    return hits.join(crossed, ["source", "seed"], "left_semi").where("id is not null").select("id").distinct()
+    none = df.sparkSession.createDataFrame([], "source string, page bigint, key string")
+    _, keys, _ = merge_partition(none, none.select("source", "key"), df, source, page, raw)
+    rows = keyed(df, source, page, raw, id_col).where("id is not null and key is not null")
+    return join_measured(rows, keys, ["source", "key"], "left_semi").select("id").distinct()
 
 
 def crossed_keys(counts: DataFrame, share: float = SHARE, least_pages: int = LEAST_PAGES) -> DataFrame:
