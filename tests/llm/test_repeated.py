@@ -1,3 +1,5 @@
+from datetime import datetime, timedelta
+
 from vellumspark.llm import repeated as R
 
 SCHEMA = "line_id bigint, book_id string, page int, seq int, raw string, source string, key string, id int"
@@ -55,21 +57,46 @@ def test_empty(spark):
 
 def test_increments_equal_the_whole(spark):
     rows = [(p * 10 + k, "b", p, t) for p in range(1, 21) for k, t in enumerate([f"unlike {'abcdefghijklmnopqrst'[p - 1] * 5} line", "Share this section"] if p > 10 else [f"other {'abcdefghijklmnopqrst'[p - 1] * 5} row"])]
-    first, second = lines(spark, [r for r in rows if r[2] <= 12]), lines(spark, [r for r in rows if r[2] > 12])
-    state = R.line_counts(first, "book_id", "page", "raw")
-    before = R.crossed_keys(state)
-    assert before.count() == 0  # on 2 of 12 pages
-    now, keys, rebuild = R.merge_partition(state, before, second, "book_id", "page", "raw")
-    whole = R.line_counts(lines(spark, rows), "book_id", "page", "raw")
-    assert sorted(map(tuple, now.collect()), key=repr) == sorted(map(tuple, whole.collect()), key=repr)
-    assert [r["key"] for r in keys.collect()] == ["sharethissection"] == [r["key"] for r in R.crossed_keys(whole).collect()]
-    # the new pages, and the two old ones with the line that has crossed the threshold
-    assert {r["page"] for r in rebuild.collect()} == {11, 12, *range(13, 21)}
-
-
-def test_repeated_lines_come_from_the_count_table(spark, monkeypatch):
-    asked = []
-    merge = R.merge_partition
-    monkeypatch.setattr(R, "merge_partition", lambda *a: asked.append(1) or merge(*a))
-    df = lines(spark, [(p, "b", p, "Share this section") for p in range(1, 9)])
-    assert R.repeated_lines(df, "line_id", "book_id", "page", "raw").count() == 8 and asked
+    rows += [(1000 + p, "c", p, "Another book") for p in range(1, 9)]
+    first, second = lines(spark, [r for r in rows if r[1] == "c" or r[2] <= 12]), lines(spark, [r for r in rows if r[1] == "b" and r[2] > 12])
+    cols = ("line_id", "book_id", "page", "raw")
+    before = R.merge_partition(None, first, *cols)
+    assert [tuple(r) for r in before.repeated().collect()] == [("c", "anotherbook")]  # the other line is on 2 of 12 pages
+    now = R.merge_partition(before, second, *cols)
+    whole = R.merge_partition(None, lines(spark, rows), *cols)
+    assert sorted(map(tuple, now.counts.collect()), key=repr) == sorted(map(tuple, whole.counts.collect()), key=repr)
+    assert {tuple(r) for r in now.repeated().collect()} == {("b", "sharethissection"), ("c", "anotherbook")} == {tuple(r) for r in whole.repeated().collect()}
+    # the new pages, and the two old ones with the line that has crossed the threshold; nothing of the other book
+    assert {tuple(r) for r in R.to_rebuild(before, now, second, "book_id", "page").collect()} == {("b", p) for p in (11, 12, *range(13, 21))}
+
+
+def test_pages_in_parts_equal_the_whole(spark):
+    schema = SCHEMA + ", loaded_at timestamp"
+    t = datetime(2024, 1, 1)
+    rows = [(p * 10 + k, "b", p, k, text, "clash", "clash", 7, t if p <= 12 else t + timedelta(days=60)) for p in range(1, 21) for k, text in enumerate([f"page {'abcdefghijklmnopqrst'[p - 1] * 5}", "Share this section" if p > 10 else "other " + "klmnopqrstuvw"[p] * 6])]
+    rows += [(900, "b", 3, 9, "Share this section", None, None, None, None), (101, "b", 10, 1, "other uuuuuu", None, None, 1, t + timedelta(days=90))]
+    df = spark.createDataFrame(rows, schema)
+    gone = R.repeated_lines(df, "line_id", "book_id", "page", "raw")
+    whole = R.pages_without(df, gone, "line_id", "book_id", "page", "seq", "raw")
+    parts = R.pages_in_parts(df, "line_id", "book_id", "page", "seq", "raw", "loaded_at")
+    assert sorted(map(tuple, parts.select(*whole.columns).collect())) == sorted(map(tuple, whole.collect()))
+    assert gone.count() == 11 == R.repeated_lines(df, "line_id", "book_id", "page", "raw", arrived="loaded_at").count()
+
+
+def test_forms_that_are_too_many_to_broadcast(spark, monkeypatch):
+    rows = [(i, b, p, "Share this sectlon" if p == 4 else "Share this section" if p % 2 else f"own {'abcdefghij'[p] * 7}") for i, (b, p) in enumerate((b, p) for b in "xyz" for p in range(10))]
+    df = lines(spark, rows)
+    want = {r["id"] for r in R.repeated_lines(df, "line_id", "book_id", "page", "raw").collect()}
+    monkeypatch.setattr(R, "BROADCAST_BYTES", -1)
+    assert {r["id"] for r in R.repeated_lines(df, "line_id", "book_id", "page", "raw").collect()} == want and len(want) == 18
+
+
+def test_pages_are_bits_of_blocks(spark):
+    df = lines(spark, [(i, "b", p, "Share this section") for i, p in enumerate((0, 63, 64, -1, -64, -65, 2**30))])
+    got = {r["block"]: r["mask"] for r in R.merge_partition(None, df, "line_id", "book_id", "page", "raw").counts.where("key is not null").collect()}
+    assert got == {0: 1 - 2**63, 1: 1, -1: 1 - 2**63, -2: -(2**63), 2**24: 1}
+
+
+def test_other_scripts():
+    assert R.key_of("ISBN Привет") != R.key_of("ISBN Пока") and R.key_of("目次") == R.key_of("  目次 12")
+    assert R.key_of("Ð¡") is None and R.key_of("Müller’s Handbuch") == R.key_of("MÃ¼llerâ€™s Handbuch")

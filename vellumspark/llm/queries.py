@@ -23,15 +23,13 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vellumspark.llm.repeated import repeated_lines
 
-    return repeated_lines(table(spark, sf_dir, "lines"), "line_id", "book_id", "page", "raw").select(F.col("id").alias("line_id"))
+    return repeated_lines(table(spark, sf_dir, "lines"), "line_id", "book_id", "page", "raw", arrived="loaded_at").select(F.col("id").alias("line_id"))
 
 
 def p2_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from vellumspark.llm.repeated import pages_without, repeated_lines
+    from vellumspark.llm.repeated import pages_in_parts
 
-    lines = table(spark, sf_dir, "lines")
-    gone = repeated_lines(lines, "line_id", "book_id", "page", "raw")
-    return pages_without(lines, gone, "line_id", "book_id", "page", "seq", "raw").withColumnRenamed("source", "book_id")
+    return pages_in_parts(table(spark, sf_dir, "lines"), "line_id", "book_id", "page", "seq", "raw", "loaded_at").withColumnRenamed("source", "book_id")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

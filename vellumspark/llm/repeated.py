@@ -1,22 +1,27 @@
 """Problem 2: lines repeated across the pages of one source.
 
-Per source a count table (source, key, pages) is kept; a key is the line without letter case, blanks, punctuation,
-digits, dates and characters outside ASCII (damage from a wrong encoding leaves ASCII letters as they are). Keys that
-stand on a small share of the pages are seeds; every line within a few misread letters of a seed belongs to it; a seed
-whose lines stand on the asked share of the distinct pages is a repeated line. New partitions are merged into the count
-table as deltas, and only pages with newly crossed lines are rebuilt.
+Per source a count table is kept: for every key and block of 64 pages a mask of the pages it stands on. A key is the line
+without letter case, blanks, punctuation, digits, dates and what a wrong encoding damages. A new partition gives such a
+table, too, and is merged into it by bitwise union; only sources that the partition holds are looked at again. Keys that
+stand on enough pages in one form are seeds; every line within a few misread letters of a seed belongs to it; a seed whose
+lines stand on the asked share of the distinct pages is a repeated line. Only pages that hold a line which crossed the
+threshold, and pages with new rows, are rebuilt.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass, field
+from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellumspark.session import checkpointed, join_measured
+from vellumspark.llm.worker import new_key, per_worker
+from vellumspark.session import join_measured, size_bytes, written
 
 # Month names and their usual short forms in English, German, French and Spanish, in ASCII letters with
 # any other letter left out, as in a key.
@@ -30,12 +35,15 @@ MONTHS = (
 # Words for a page and the words between a page number and a total.
 PAGE_WORDS = "page pages p pp pg seite seiten s pgina pginas pgs pag pgina folio leaf blatt feuillet hoja of von de sur".split()
 
-SHARE, LEAST_PAGES, SEED_SHARE = 0.2, 4, 0.03
-
+SHARE, LEAST_PAGES = 0.2, 4
+FORM_SHARE = 0.4  # of the pages asked for, on which one form of the line must stand: noise spoils some lines, not most
+BROADCAST_BYTES = 48_000_000  # of seeds; beyond that they are sorted beside the keys they are compared with
+SALTS = 32
 
 DIGITS = re.compile(r"[0-9]+")
 NOT_LETTER = re.compile(r"[^a-z]+")
-OTHER_LETTERS = re.compile(r"[^\W\d_a-z]+")
+OTHER_SCRIPT = re.compile(r"(?<![a-z0-9])[^\x00-\x7f]{2,}(?![a-z0-9])")
+OTHER_LETTER = re.compile(r"[^\W\d_\u0000-\u036f]")
 ROMAN = re.compile(r"[ivxlc]+")
 PAGE_SET = frozenset(PAGE_WORDS)
 # A month counts as part of a date only beside a number.
@@ -43,16 +51,24 @@ _NAMES = "|".join(sorted(MONTHS, key=len, reverse=True))
 DATED = re.compile(rf"(?<=\d)(?:st|nd|rd|th)?[ .,/-]*(?:de |of )?(?:{_NAMES})\b|\b(?:{_NAMES})(?=[ .,/-]*\d)")
 
 
+def other_script(low: str) -> str:
+    """Letters of scripts other than Latin, of words that hold two or more of them and no ASCII letter or digit: damage
+    from a wrong encoding stands inside words or is a letter or two among signs."""
+    runs = (OTHER_LETTER.findall(run) for run in OTHER_SCRIPT.findall(low))
+    return "".join("".join(x) for x in runs if len(x) >= 2)
+
+
 def key_of(raw: str | None) -> str | None:
     """Key under which lines count as the same; null for lines without a word and for bare page numbers.
 
-    Roman numbers count as digits at either end of a line. A line with fewer than three ASCII letters that has three
-    or more letters of another script is keyed by these.
+    Roman numbers count as digits at either end of a line. Of words outside ASCII those in other scripts than Latin count;
+    marked Latin letters, which encodings damage, do not.
     """
     if not raw:
         return None
     low = raw.lower().replace("\u00a0", " ")
-    text = low if low.isascii() else low.encode("ascii", "ignore").decode("ascii")
+    ascii_only = low.isascii()
+    text = low if ascii_only else low.encode("ascii", "ignore").decode("ascii")
     if DIGITS.search(text):
         text = DIGITS.sub("", DATED.sub(" ", text))
     words = NOT_LETTER.sub(" ", text).split()
@@ -61,10 +77,9 @@ def key_of(raw: str | None) -> str | None:
     if words and ROMAN.fullmatch(words[-1]):
         words = words[:-1]
     key = "".join(words)
-    if len(key) < 3 and not low.isascii():
-        other = "".join(OTHER_LETTERS.findall(low))
-        if len(other) >= 3:
-            return other
+    other = "" if ascii_only else other_script(low)
+    if other:
+        return key + other
     if len(key) < 2 or sum(len(w) for w in words if w not in PAGE_SET) < 2:
         return None
     return key
@@ -120,35 +135,51 @@ def pairs_of(key: str) -> set[str]:
 class Seeds:
     """Keys of one source that stand on several pages, and which of them a key is a misreading of."""
 
-    def __init__(self, text: str) -> None:
-        self.n: dict[str, int] = {}
-        self.by_length: dict[int, list[tuple[str, int, list[str], set[str]]]] = {}
-        for line in text.split("\n"):
-            n, _, key = line.partition(" ")
-            self.n[key] = int(n)
+    def __init__(self, forms: list[tuple[str, int]]) -> None:
+        import ahocorasick
+
+        self.n = dict(forms)
+        self.of: list[tuple[str, int, set[str]]] = []
+        places: dict[str, list[tuple[int, int]]] = defaultdict(list)  # piece: seeds that hold it, and where it ends there
+        for key in sorted(self.n):
             most = allowed_edits(len(key))
-            self.by_length.setdefault(len(key), []).append((key, most, pieces_of(key, most), pairs_of(key)))
-        self.seen: dict[str, list[str]] = {}
+            if most:
+                end = -1
+                for piece in pieces_of(key, most):
+                    end += len(piece)
+                    places[piece].append((len(self.of), end))
+                self.of.append((key, most, pairs_of(key)))
+        self.pieces = ahocorasick.Automaton()
+        for piece, where in places.items():
+            self.pieces.add_word(piece, where)
+        if places:
+            self.pieces.make_automaton()
+        self.any = bool(places)
 
     def near(self, key: str) -> list[str]:
         """Seeds that the key equals but for misread letters.
 
-        A key that is a seed itself and stands on more than half as many pages is another line of the same make, such as
-        a sentence with another noun, not a misreading. A piece of the seed must be unchanged, and an edit touches two
-        pairs of letters at most, so distances are worked out for few.
+        A key that is a form itself and stands on more than half as many pages is another line of the same make, such as
+        a sentence with another noun, not a misreading. A piece of the seed must stand unchanged near its place, and an
+        edit touches two pairs of letters at most, so distances are worked out for few.
         """
-        hit = self.seen.get(key)
-        if hit is None:
-            own, size, pairs = self.n.get(key, 0), len(key), None
-            hit = [key] if own else []
-            for n in range(size - 8, size + 9):
-                for s, most, pieces, own_pairs in self.by_length.get(n, ()):
-                    if abs(n - size) <= most and s != key and own * 2 <= self.n[s] and any(p in key for p in pieces):
-                        pairs = pairs or pairs_of(key)
-                        if len(own_pairs - pairs) <= 2 * most and edits(s, key, most) <= most:
-                            hit.append(s)
-            if hit:
-                self.seen[key] = hit
+        own, size, pairs = self.n.get(key, 0), len(key), None
+        hit = [key] if own else []
+        if not self.any:
+            return hit
+        tried: set[int] = set()
+        for end, where in self.pieces.iter(key):
+            for k, at in where:
+                if k in tried:
+                    continue
+                s, most, own_pairs = self.of[k]
+                if abs(end - at) > most or abs(len(s) - size) > most:
+                    continue
+                tried.add(k)
+                if s != key and own * 2 <= self.n[s]:
+                    pairs = pairs or pairs_of(key)
+                    if len(own_pairs - pairs) <= 2 * most and edits(s, key, most) <= most:
+                        hit.append(s)
         return hit
 
 
@@ -169,103 +200,164 @@ def keyed(df: DataFrame, source: str, page: str, raw: str, id_col: str | None =
     return rows.mapInPandas(run, "source string, page bigint, " + ("" if id_col is None else "id bigint, ") + ("" if flag is None else "flag int, ") + "key string")
 
 
-def line_counts(df: DataFrame, source: str, page: str, raw: str) -> DataFrame:
-    """Count table of a partition: distinct (source, key, page). Distinct pages, not numbers of them, make it mergeable;
-    a row delivered again adds nothing. The page count of a source rests in rows whose key is null."""
-    rows = keyed(df, source, page, raw)
-    return rows.select("source", "page", F.explode(F.array("key", F.lit(None).cast("string"))).alias("key")).distinct()
+def masks(rows: DataFrame, *by: str) -> DataFrame:
+    """by, block, mask: the pages of ``rows``, 64 of them to a mask."""
+    page = F.expr("shiftleft(1L, int(pmod(page, 64)))")
+    return rows.groupBy(*by, F.expr("page div 64 - int(page < 0 and page % 64 != 0)").alias("block")).agg(F.bit_or(page).alias("mask"))
+
+
+def line_counts(rows: DataFrame) -> DataFrame:
+    """Count table (source, key, block, mask) of keyed rows. The pages of a source, whatever stands on them, rest in rows
+    whose key is null. A row delivered again sets a bit that is set. A line on all pages of a source is a row for 64 pages."""
+    every = masks(rows.select("source", "page"), "source").select("source", F.lit(None).cast("string").alias("key"), "block", "mask")
+    return masks(rows.where("key is not null"), "source", "key").unionByName(every)
 
 
 def merge_counts(state: DataFrame, delta: DataFrame) -> DataFrame:
-    """The state table with the delta of a new partition."""
-    return state.unionByName(delta).distinct()
+    """The count table with the delta of a new partition. Rows of sources that the delta lacks are passed on as they are."""
+    touched = delta.where("key is null").select("source").distinct()
+    old = join_measured(state, touched, ["source"], "left_semi").unionByName(delta)
+    return old.groupBy("source", "key", "block").agg(F.bit_or("mask").alias("mask")).unionByName(join_measured(state, touched, ["source"], "left_anti"))
+
+
+def forms(counts: DataFrame, share: float = SHARE, form_share: float = FORM_SHARE) -> DataFrame:
+    """source, key, n, pages: keys on enough pages to tell a line from its misreadings, two or more. Half of what a seed
+    needs is enough, as a form that stands on half as many pages as a seed is no misreading of it."""
+    per_block = counts.withColumn("n", F.bit_count("mask"))
+    every = per_block.where("key is null").select("source", "block", F.col("n").alias("here"))
+    totals = every.groupBy("source").agg(F.sum("here").alias("pages"))
+    least = share * form_share / 2
+    # What stands on a share of all pages stands on that share of the pages of one block at least.
+    some = join_measured(per_block.where("key is not null"), every, ["source", "block"]).where(F.col("n") >= F.col("here") * least)
+    some = some.select("source", "key").distinct()
+    n = join_measured(per_block.where("key is not null"), written(some), ["source", "key"], "left_semi").groupBy("source", "key").agg(F.sum("n").alias("n"))
+    return join_measured(n.where("n >= 2"), totals, ["source"]).where(F.col("n") >= F.col("pages") * least).select("source", "key", "n", "pages")
+
+
+def matched(rows: DataFrame, of: DataFrame) -> DataFrame:
+    """The rows (source, key, block, mask) that are near a form of ``of``, one for each: with seed, seed_n, pages.
+
+    Forms that together are small, which is measured, go to every executor and are indexed there once; others are sorted
+    in before the keys of their source, a source over SALTS tasks.
+    """
+    schema = "source string, key string, block bigint, mask bigint, seed string, seed_n bigint, pages bigint"
+    columns = ["source", "key", "block", "mask", "seed", "seed_n", "pages"]
+    rows = rows.where("key is not null").select("source", "key", "block", "mask")
+    if size_bytes(of) <= BROADCAST_BYTES:
+        held: dict[str, list[tuple[str, int]]] = defaultdict(list)
+        pages: dict[str, int] = {}
+        for r in of.toLocalIterator():
+            held[r["source"]].append((r["key"], r["n"]))
+            pages[r["source"]] = r["pages"]
+        shared, name = rows.sparkSession.sparkContext.broadcast((dict(held), pages)), new_key()
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            known, total = shared.value
+            index: dict[str, Seeds] = per_worker(name, dict)
+            for b in batches:
+                out = []
+                for source, key, block, mask in zip(*(b[c].tolist() for c in ("source", "key", "block", "mask"))):
+                    seeds = index.get(source)
+                    if seeds is None:
+                        seeds = index[source] = Seeds(known.get(source, []))
+                    if hit := seeds.near(key):
+                        out += [(source, key, block, mask, s, seeds.n[s], total[source]) for s in hit]
+                yield pd.DataFrame(out, columns=columns)
+
+        return rows.mapInPandas(run, schema)
+
+    def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        source, known, total, seeds = None, [], 0, None
+        for b in batches:
+            out = []
+            for s, key, block, mask, n, all_pages in zip(*(b[c].tolist() for c in ("source", "key", "block", "mask", "n", "pages"))):
+                if s != source:
+                    source, known, seeds = s, [], None
+                if n > 0:
+                    known.append((key, n))
+                    total = all_pages
+                    continue
+                seeds = seeds or Seeds(known)
+                out += [(s, key, block, mask, x, seeds.n[x], total) for x in seeds.near(key)]
+            yield pd.DataFrame(out, columns=columns)
 
+    zero = F.lit(0).cast("bigint")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    first = of.select("source", "key", zero.alias("block"), zero.alias("mask"), "n", "pages", salts)
+    then = rows.select("source", "key", "block", "mask", zero.alias("n"), zero.alias("pages"), F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int").alias("salt"))
+    both = first.unionByName(then).repartition("source", "salt").sortWithinPartitions("source", "salt", F.col("n").desc())
+    return both.mapInPandas(merged, schema)
 
-def page_totals(df: DataFrame, source: str, page: str) -> DataFrame:
-    """source, pages: distinct pages of each source."""
-    rows = df.select(F.col(source).cast("string").alias("source"), F.col(page).cast("bigint").alias("page")).where("source is not null and page is not null")
-    return rows.distinct().groupBy("source").agg(F.count("*").alias("pages"))
 
+def crossed_keys(counts: DataFrame, share: float = SHARE, least_pages: int = LEAST_PAGES, form_share: float = FORM_SHARE) -> DataFrame:
+    """source, key of the lines over the threshold, from a count table alone (no original lines are read)."""
+    hits = written(matched(counts, written(forms(counts, share, form_share))))
+    pages = hits.groupBy("source", "seed", "block").agg(F.bit_or("mask").alias("mask"), F.max("pages").alias("pages"), F.max("seed_n").alias("seed_n"))
+    total = pages.groupBy("source", "seed").agg(F.sum(F.bit_count("mask")).alias("n"), F.max("pages").alias("pages"), F.max("seed_n").alias("seed_n"))
+    asked = F.col("pages") * share
+    over = total.where((F.col("n") >= asked) & (F.col("n") >= least_pages) & (F.col("seed_n") >= asked * form_share)).select("source", "seed")
+    return join_measured(hits, over, ["source", "seed"], "left_semi").select("source", "key").distinct()
 
-def seeds(occurrences: DataFrame, totals: DataFrame, share: float = SEED_SHARE, least: int = 2) -> DataFrame:
-    """source, pages, seeds: keys on at least ``share`` of the pages and on ``least`` of them, with their numbers of pages,
-    as one string. As a page holds a bounded number of lines, so does a source of seeds."""
-    often = occurrences.groupBy("source", "key").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    picked = often.join(totals, "source").where(F.col("n") >= F.col("pages") * share)
-    seed = F.concat_ws(" ", F.col("n").cast("string"), "key")
-    return picked.groupBy("source").agg(F.max("pages").alias("pages"), F.array_join(F.array_sort(F.collect_list(seed)), "\n").alias("seeds"))
 
+@dataclass
+class State:
+    """What is kept from partition to partition: keyed lines, count table, keys over the threshold. Each is a table of
+    Parquet files in the shared folder; ``keys`` holds those of each threshold that was asked for."""
 
-def matched(rows: DataFrame, of: DataFrame, is_key: bool = False) -> DataFrame:
-    """source, page, id, key, seed, seed_n, pages of the rows (source, page, id, text) that are near a seed, one row per seed.
+    rows: DataFrame
+    counts: DataFrame
+    keys: dict[tuple[float, int], DataFrame] = field(default_factory=dict)
 
-    Text is a line or, with ``is_key``, its key. Keys are made and compared in the same pass over Arrow batches; the seeds
-    come along by a join, broadcast if their size, which is measured, allows.
-    """
+    def repeated(self, share: float = SHARE, least_pages: int = LEAST_PAGES) -> DataFrame:
+        """source, key of the lines over the threshold now."""
+        if (share, least_pages) not in self.keys:
+            self.keys[share, least_pages] = written(crossed_keys(self.counts, share, least_pages))
+        return self.keys[share, least_pages]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[str, Seeds] = {}
-        for b in batches:
-            out = []
-            for source, page, i, text, pages, packed in zip(*(b[c].tolist() for c in ("source", "page", "id", "text", "pages", "seeds"))):
-                key = text if is_key else key_of(text)
-                if key is None:
-                    continue
-                seeds_here = held.get(source)
-                if seeds_here is None:
-                    if len(held) >= 2000:
-                        held.clear()
-                    seeds_here = held[source] = Seeds(packed)
-                out += [(source, page, i, key, s, seeds_here.n[s], pages) for s in seeds_here.near(key)]
-            found = pd.DataFrame(out, columns=["source", "page", "id", "key", "seed", "seed_n", "pages"])
-            found["id"] = found["id"].astype("Int64")
-            yield found
-
-    both = join_measured(rows.where("text is not null"), of, ["source"]).select("source", "page", "id", "text", "pages", "seeds")
-    return both.mapInPandas(run, "source string, page bigint, id bigint, key string, seed string, seed_n bigint, pages bigint")
-
-
-def over(hits: DataFrame, share: float, least_pages: int) -> DataFrame:
-    """source, seed of the lines over the threshold. Of the pages asked for, the undamaged line must stand on two fifths:
-    noise spoils some lines, not most. Two levels, so that a source with a third of all pages is counted by many tasks."""
-    pages = hits.select("source", "seed", "seed_n", "page", "pages").distinct().groupBy("source", "seed").agg(F.count("*").alias("n"), F.max("pages").alias("pages"), F.max("seed_n").alias("seed_n"))
-    asked = F.col("pages") * share
-    return pages.where((F.col("n") >= asked) & (F.col("n") >= least_pages) & (F.col("seed_n") >= asked * 0.4)).select("source", "seed")
+    def ids(self, share: float = SHARE, least_pages: int = LEAST_PAGES) -> DataFrame:
+        rows = self.rows.where("id is not null and key is not null")
+        return join_measured(rows, self.repeated(share, least_pages), ["source", "key"], "left_semi").select("id").distinct()
 
 
-def repeated_lines(df: DataFrame, id_col: str, source: str, page: str, raw: str, share: float = SHARE, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """id of every line that stands on at least ``share`` of the distinct pages of its source and on ``least_pages``.
+def merge_partition(state: State | None, lines: DataFrame, id_col: str, source: str, page: str, raw: str) -> State:
+    """The state with a new partition of lines; without a state the partition is the first."""
+    rows = written(keyed(lines, source, page, raw, id_col))
+    delta = written(line_counts(rows))
+    if state is None:
+        return State(rows, delta)
+    return State(state.rows.unionByName(rows), written(merge_counts(state.counts, delta)))
 
-    A row without identifier, source, page or text is never repeated; equal identifiers come out once; bare page numbers are left
-    out; an empty table gives no rows. Only columns named are used, so further columns may have any name.
-    """
-    none = df.sparkSession.createDataFrame([], "source string, page bigint, key string")
-    _, keys, _ = merge_partition(none, none.select("source", "key"), df, source, page, raw)
-    rows = keyed(df, source, page, raw, id_col).where("id is not null and key is not null")
-    return join_measured(rows, keys, ["source", "key"], "left_semi").select("id").distinct()
 
+def to_rebuild(before: State, now: State, lines: DataFrame, source: str, page: str) -> DataFrame:
+    """source, page of the pages that must be made anew after ``lines`` came in: those with new rows, and those with a line
+    that crossed the threshold in either direction, of which the keyed rows tell where they stand."""
+    old, new = before.repeated(), now.repeated()
+    changed = written(new.exceptAll(old).unionByName(old.exceptAll(new)))
+    fresh = lines.select(F.col(source).cast("string").alias("source"), F.col(page).cast("bigint").alias("page")).where("source is not null and page is not null")
+    return join_measured(now.rows, changed, ["source", "key"], "left_semi").select("source", "page").unionByName(fresh).distinct()
 
-def crossed_keys(counts: DataFrame, share: float = SHARE, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """source, key of the lines over the threshold, from a count table alone (no original lines are read)."""
-    totals = counts.where("key is null").groupBy("source").agg(F.count("*").alias("pages"))
-    of = checkpointed(seeds(counts.where("key is not null"), totals))
-    rows = counts.where("key is not null").select("source", "page", F.lit(None).cast("bigint").alias("id"), F.col("key").alias("text"))
-    hits = checkpointed(matched(rows, of, is_key=True))
-    crossed = over(hits, share, least_pages)
-    return hits.join(crossed, ["source", "seed"], "left_semi").select("source", "key").distinct()
+
+def arrivals(df: DataFrame, at: str | None, days: int = 31) -> list[DataFrame]:
+    """Partitions in the order they came in: what arrived within ``days`` of the first row, and what came later."""
+    first = df.agg(F.min(at).alias("t")).first()["t"] if at else None
+    if first is None:
+        return [df]
+    late = F.coalesce(F.col(at) >= F.lit(first + timedelta(days=days)), F.lit(True))
+    return [df.where(~late), df.where(late)]
 
 
-def merge_partition(state: DataFrame, before: DataFrame, lines: DataFrame, source: str, page: str, raw: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """One incremental step: (new count table, keys over the threshold, pages to rebuild).
+def repeated_lines(df: DataFrame, id_col: str, source: str, page: str, raw: str, share: float = SHARE, least_pages: int = LEAST_PAGES, arrived: str | None = None) -> DataFrame:
+    """id of every line that stands on at least ``share`` of the distinct pages of its source and on ``least_pages``.
 
-    ``before`` holds the keys that were over it. Pages to rebuild, as source and page, are those that hold a key that
-    newly crossed the threshold in either direction, found in the count table alone.
+    The count table is built from the partitions in the order of ``arrived``, each merged as a delta; the order does not
+    change the result. A row without identifier, source, page or text is never repeated; equal identifiers come out once;
+    bare page numbers are left out; an empty table gives no rows. Only columns named are used, so further columns may have
+    any name.
     """
-    now = checkpointed(merge_counts(state, line_counts(lines, source, page, raw)))
-    keys = checkpointed(crossed_keys(now))
-    changed = keys.exceptAll(before).unionByName(before.exceptAll(keys)).distinct()
-    fresh = keyed(lines, source, page, raw).select("source", "page")
-    return now, keys, now.join(changed, ["source", "key"], "left_semi").select("source", "page").unionByName(fresh).distinct()
+    state = None
+    for part in arrivals(df, arrived):
+        state = merge_partition(state, part, id_col, source, page, raw)
+    return state.ids(share, least_pages)
 
 
 def pages_without(df: DataFrame, repeated: DataFrame, id_col: str, source: str, page: str, seq: str, raw: str) -> DataFrame:
@@ -274,8 +366,25 @@ def pages_without(df: DataFrame, repeated: DataFrame, id_col: str, source: str,
     ``repeated`` holds the ids to remove. A page of nothing but repeated lines keeps an empty text; rows delivered again
     count once; lines without text add nothing.
     """
-    rows = df.select(F.col(id_col).alias("id"), F.col(source).alias("source"), F.col(page).cast("bigint").alias("page"), F.col(seq).alias("seq"), F.col(raw).alias("raw"))
+    rows = df.select(F.col(id_col).alias("id"), F.col(source).cast("string").alias("source"), F.col(page).cast("bigint").alias("page"), F.col(seq).alias("seq"), F.col(raw).alias("raw"))
     rows = rows.where("source is not null and page is not null").groupBy("source", "page", "id").agg(F.min(F.struct("seq", "raw")).alias("r"))
     rows = rows.join(repeated.select("id", F.lit(True).alias("gone")), "id", "left")
     kept = F.array_sort(F.collect_list(F.when(F.col("gone").isNull() & F.col("r.raw").isNotNull(), F.struct("r.seq", "id", "r.raw"))))
     return rows.groupBy("source", "page").agg(F.count("gone").alias("n_removed"), F.array_join(F.transform(kept, lambda x: x["raw"]), "\n").alias("text"))
+
+
+def pages_in_parts(df: DataFrame, id_col: str, source: str, page: str, seq: str, raw: str, arrived: str | None = None) -> DataFrame:
+    """The pages as ``pages_without`` gives them, made partition by partition: each new one rebuilds the pages it touches and
+    those with newly crossed lines, the others are taken over as they are."""
+    state, pages, seen = None, None, None
+    for part in arrivals(df, arrived):
+        now = merge_partition(state, part, id_col, source, page, raw)
+        seen = part if seen is None else seen.unionByName(part)
+        if pages is None:
+            pages = written(pages_without(seen, now.ids(), id_col, source, page, seq, raw))
+        else:
+            anew = written(to_rebuild(state, now, part, source, page))
+            spot = seen.join(anew.select(F.col("source").alias("_source"), F.col("page").alias("_page")), (F.col(source).cast("string") == F.col("_source")) & (F.col(page).cast("bigint") == F.col("_page")), "left_semi")
+            pages = pages.join(anew, ["source", "page"], "left_anti").unionByName(pages_without(spot, now.ids(), id_col, source, page, seq, raw))
+        state = now
+    return pages
