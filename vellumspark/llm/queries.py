@@ -83,6 +83,12 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_leaks(spark, sf_dir).select("doc_id", "item_id").distinct()
 
 
+def p7_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellumspark.llm.leakage import remove_leaks
+
+    return remove_leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items")).withColumnRenamed("id", "doc_id")
+
+
 def p8_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vellumspark.llm.subjects import subjects_of
 
@@ -101,7 +107,7 @@ def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [p1_found, p1_terms, p2_found, p2_pages, p3_found, p3_texts, p4_found, p4_pieces, p5_found, p5_restored, p6_containers, p7_found, p7_leaks, p8_found, p8_subjects, p8_composition]
+    named = [p1_found, p1_terms, p2_found, p2_pages, p3_found, p3_texts, p4_found, p4_pieces, p5_found, p5_restored, p6_containers, p7_found, p7_leaks, p7_cleaned, p8_found, p8_subjects, p8_composition]
     return {f.__name__: f for f in named}
 
 
