@@ -51,9 +51,17 @@ def test_without_labels(tables):
     docs, labels, subjects, _ = tables
     lexicon = S.learn(docs, "doc_id", "text", labels.where("false"), subjects)
     assert lexicon.threshold == pytest.approx(1 / 6) and "court" in lexicon.weights
-    assert S.shares(docs.where("false"), "doc_id", "text", lexicon).count() == 0
+    assert S.shares(docs.where("false"), "doc_id", "text", lexicon, lexicon.thresholds()).count() == 0
 
 
 def test_sample_is_bounded(tables):
     docs, labels, *_ = tables
     assert S.labelled_sample(docs, "doc_id", "text", labels, 20).count() == 20
+
+
+def test_thresholds_of_subjects():
+    labels = {i: {"a"} if i % 2 else {"b"} for i in range(200)}
+    rows = [(i, "a", 0.3 if i % 2 else 0.15) for i in range(200)] + [(i, "b", 0.1 if i % 2 == 0 else 0.05) for i in range(200)]
+    overall, (a, b, c) = S.calibrate(rows, labels, ["a", "b", "c"])
+    assert 0.15 < a <= 0.2 and b <= 0.1 and c == overall
+    assert S.calibrate([], {}, ["a"]) == (1 / 6, [1 / 6])

@@ -2,7 +2,8 @@
 
 Weighted subject terms are curated from the labelled sample and the scope notes, matched with a multi-pattern automaton,
 weighted by how telling and how rare they are, and summed by sentence. The share of a document's sentences that a subject
-wins is its score, normalised by length; every subject over a threshold calibrated on the labelled documents is assigned.
+wins is its score, normalised by length; every subject over its threshold is assigned. Thresholds are calibrated on labelled
+documents that are held out: each is scored with terms curated without it and its fold.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 from vellumspark.llm.worker import new_key, per_worker
 
 LABELLED_MOST = 20_000
+FOLDS = 5
+PRIOR = 30  # labels of a subject that weigh as much as those of all subjects in its threshold
 LEAST_DOCS = 2
 LEAST_WORDS = 4
 LEAST_SENTENCES = 2
@@ -41,7 +44,11 @@ class Lexicon:
     subjects: list[str]
     weights: dict[str, list[tuple[int, float]]]
     least: float = 0.5
-    threshold: float = 0.15
+    threshold: float = 1 / 6
+    own: list[float] | None = None  # threshold of each subject
+
+    def thresholds(self) -> list[float]:
+        return self.own or [self.threshold] * len(self.subjects)
 
     def automaton(self):
         import ahocorasick
@@ -112,24 +119,41 @@ def curate(counts: dict[str, dict[str, int]], docs: dict[str, int], notes: dict[
     return Lexicon(subjects, weights)
 
 
-def calibrate(rows: list[tuple[int, str, float]], labels: dict[int, set[str]]) -> float:
-    """The threshold of best F1 on the labelled documents; of a run of equals its middle."""
-    share = {(i, s): x for i, s, x in rows}
-    grid = [round(0.08 + 0.005 * k, 3) for k in range(25)]
-    true = {(i, s) for i, ss in labels.items() for s in ss}
-    scores = []
-    for t in grid:
-        got = {k for k, x in share.items() if x >= t}
-        hit = len(got & true)
-        scores.append(round(2 * hit / max(1, len(got) + len(true)), 3))
-    top = [t for t, s in zip(grid, scores) if s >= max(scores) - 0.002]
-    return top[len(top) // 2] if scores and max(scores) > 0 else 1 / 6
+GRID = [round(0.08 + 0.005 * k, 3) for k in range(25)]
+
+
+def best_threshold(scores: list[float]) -> float:
+    """Of the thresholds of the grid the one of the best score; of a run of equals its middle; a sixth if all are nothing."""
+    top = [t for t, x in zip(GRID, scores) if x >= max(scores) - 0.002]
+    return top[len(top) // 2] if max(scores) > 0 else 1 / 6
+
+
+def calibrate(rows: list[tuple[int, str, float]], labels: dict[int, set[str]], subjects: list[str]) -> tuple[float, list[float]]:
+    """Threshold of all subjects together and of each, by best F1 on (document, subject, share) of held-out documents.
+
+    To the counts of a subject those of all are added, scaled to PRIOR labels, so that few labels move its threshold little.
+    """
+    n_true = Counter(s for given in labels.values() for s in given)
+    got = {s: [0] * len(GRID) for s in subjects}
+    hit = {s: [0] * len(GRID) for s in subjects}
+    for i, s, x in rows:
+        for k, t in enumerate(GRID):
+            if x >= t:
+                got[s][k] += 1
+                hit[s][k] += s in labels.get(i, ())
+    all_true, all_got, all_hit = sum(n_true[s] for s in subjects), [sum(x) for x in zip(*got.values())], [sum(x) for x in zip(*hit.values())]
+    if not all_true:
+        return 1 / 6, [1 / 6] * len(subjects)
+    w = PRIOR / all_true
+    f1 = lambda h, g, n: round(2 * h / max(1e-9, g + n), 3)
+    overall = best_threshold([f1(h, g, all_true) for h, g in zip(all_hit, all_got)])
+    return overall, [best_threshold([f1(h + w * ah, g + w * ag, n_true[s] + PRIOR) for h, g, ah, ag in zip(hit[s], got[s], all_hit, all_got)]) for s in subjects]
 
 
 def labelled_sample(docs: DataFrame, id_col: str, text_col: str, labels: DataFrame, most: int) -> DataFrame:
-    """id, text, given (subjects) of at most ``most`` labelled documents, picked by hash."""
+    """id, text, given (subjects), fold of at most ``most`` labelled documents, picked by hash."""
     given = labels.where("doc_id is not null and subject is not null").groupBy("doc_id").agg(F.array_sort(F.collect_set("subject")).alias("given"))
-    given = given.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).withColumnRenamed("doc_id", "id")
+    given = given.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select(F.col("doc_id").alias("id"), "given", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int").alias("fold"))
     text = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     return text.join(F.broadcast(given), "id")  # at most ``most`` rows of an id and a few subjects
 
@@ -146,27 +170,38 @@ def learn(docs: DataFrame, id_col: str, text_col: str, labels: DataFrame, subjec
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: Counter = Counter()
         for b in batches:
-            for text, given in zip(b["text"], b["given"]):
+            for text, given, fold in zip(b["text"], b["given"], b["fold"]):
                 if len(given) == 1:  # which sentences a second subject has is not known
-                    held["", given[0]] += 1
-                    held.update((w, given[0]) for w in {w for s in sentences_of(text) for w in s})
-        yield pd.DataFrame([(w, s, n) for (w, s), n in held.items()], columns=["term", "subject", "n"])
+                    held["", given[0], fold] += 1
+                    held.update((w, given[0], fold) for w in {w for s in sentences_of(text) for w in s})
+        yield pd.DataFrame([(w, s, f, n) for (w, s, f), n in held.items()], columns=["term", "subject", "fold", "n"])
 
-    rows = sample.mapInPandas(count, "term string, subject string, n bigint").groupBy("term").agg(F.sum("n").alias("n"), F.collect_list(F.struct("subject", "n")).alias("by"))
+    rows = sample.mapInPandas(count, "term string, subject string, fold int, n bigint").groupBy("term").agg(F.sum("n").alias("n"), F.collect_list(F.struct("subject", "fold", "n")).alias("by"))
     counts: dict[str, Counter] = {}
+    of_fold: list[dict[str, Counter]] = [{} for _ in range(FOLDS)]
     for r in rows.where(f"n >= {LEAST_DOCS} or term = ''").toLocalIterator():
-        c: Counter = Counter()
+        c = counts[r["term"]] = Counter()
         for x in r["by"]:
             c[x["subject"]] += x["n"]
-        counts[r["term"]] = c
-    lexicon = curate(counts, counts.pop("", Counter()), notes, names)
-    own = shares(sample, "id", "text", lexicon).collect()
-    lexicon.threshold = calibrate([(r["id"], r["subject"], r["share"]) for r in own], {r["id"]: set(r["given"]) for r in sample.select("id", "given").collect()})
+            of_fold[x["fold"]].setdefault(r["term"], Counter())[x["subject"]] += x["n"]
+    docs_of = counts.pop("", Counter())
+    lexicon = curate(counts, docs_of, notes, names)
+    held_out = [curate({t: c - f.get(t, Counter()) for t, c in counts.items()}, docs_of - f.get("", Counter()), notes, names) for f in of_fold]
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        automata = [lex.automaton() for lex in held_out]
+        for b in batches:
+            own = [(i, lex.subjects[s], x) for i, t, f in zip(b["id"].tolist(), b["text"].tolist(), b["fold"].tolist()) for lex in (held_out[f],) for s, x in lex.shares(automata[f], t).items() if x >= GRID[0]]
+            yield pd.DataFrame(own, columns=["id", "subject", "share"])
+
+    own = sample.mapInPandas(score, "id bigint, subject string, share double").collect()
+    given = {r["id"]: set(r["given"]) for r in sample.select("id", "given").collect()}
+    lexicon.threshold, lexicon.own = calibrate([(r["id"], r["subject"], r["share"]) for r in own], given, names)
     return lexicon
 
 
-def shares(docs: DataFrame, id_col: str, text_col: str, lexicon: Lexicon, least: float = 0.05) -> DataFrame:
-    """id, subject, share of sentences, of the subjects that win at least ``least`` of a document's sentences."""
+def shares(docs: DataFrame, id_col: str, text_col: str, lexicon: Lexicon, least: list[float]) -> DataFrame:
+    """id, subject, share of sentences, of the subjects that win at least their part ``least`` of a document's sentences."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(lexicon)
     key = new_key()
@@ -175,7 +210,7 @@ def shares(docs: DataFrame, id_col: str, text_col: str, lexicon: Lexicon, least:
         lex = shared.value
         automaton = per_worker(key, lex.automaton)
         for b in batches:
-            rows = [(i, lex.subjects[s], x) for i, t in zip(b["id"].tolist(), b["text"].tolist()) for s, x in lex.shares(automaton, t).items() if x >= least]
+            rows = [(i, lex.subjects[s], x) for i, t in zip(b["id"].tolist(), b["text"].tolist()) for s, x in lex.shares(automaton, t).items() if x >= least[s]]
             yield pd.DataFrame(rows, columns=["id", "subject", "share"])
 
     text = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
@@ -189,7 +224,7 @@ def subjects_of(docs: DataFrame, id_col: str, text_col: str, labels: DataFrame,
     threshold is a sixth. Labels are read as doc_id and subject; wrong ones are outvoted, repeated ones count once.
     """
     lexicon = learn(docs, id_col, text_col, labels, subjects, most)
-    return shares(docs, id_col, text_col, lexicon, lexicon.threshold)
+    return shares(docs, id_col, text_col, lexicon, lexicon.thresholds())
 
 
 def composition(found: DataFrame, docs: DataFrame, id_col: str, source_col: str) -> DataFrame:
