@@ -51,3 +51,10 @@ def test_oversized(spark):
     seven = sorted((r["piece_no"], r["start"], r["end"]) for r in out if r["id"] == 7)
     assert seven[0][1] == 0 and seven[-1][2] == 200_000 and [p[0] for p in seven] == list(range(1, len(seven) + 1))
     assert split.split_oversized(rows(spark, data).where("false"), "block_id", "clean", "heading_path").count() == 0
+
+
+def test_stretches_change_nothing(monkeypatch):
+    text = ("Some words here, and more; then a stop. Next\n\n" * 400)[:15_000]
+    want = split.cuts(text, 700, 90)
+    monkeypatch.setattr(split, "STRETCH", 50)
+    assert split.cuts(text, 700, 90) == want and len(want) > 20

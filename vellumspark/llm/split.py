@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LIMIT, OVERLAP = 2200, 200
+STRETCH = 1 << 17  # positions that the sparse table covers at a time
 # Strength of a cut at the end of each pattern, strongest first.
 BOUNDARIES = [
     (7, re.compile(r"\n[^\S\n]*\n\s*(?=#)")),
@@ -39,14 +40,15 @@ def strengths(text: str) -> np.ndarray:
 
 
 class RangeMax:
-    """Sparse table over strengths; the rightmost position of the maximum of a closed range, in constant time."""
+    """Sparse table over strengths; the rightmost position of the maximum of a closed range of at most ``widest``
+    positions, in constant time."""
 
-    def __init__(self, values: np.ndarray) -> None:
+    def __init__(self, values: np.ndarray, widest: int | None = None) -> None:
         n = len(values)
         key = values.astype(np.int64) * (n + 1) + np.arange(n)  # of equal strengths the rightmost is greatest
         self.n, self.levels = n, [key]
         width = 1
-        while 2 * width <= n:
+        while 2 * width <= min(n, widest or n):
             last = self.levels[-1]
             self.levels.append(np.maximum(last[: n - 2 * width + 1], last[width : n - width + 1]))
             width *= 2
@@ -58,20 +60,23 @@ class RangeMax:
 
 
 def cuts(text: str, room: int, overlap: int) -> list[tuple[int, int]]:
-    """Starts and ends of the pieces of ``text``, each of at most ``room`` characters; together they cover it."""
+    """Starts and ends of the pieces of ``text``, each of at most ``room`` characters; together they cover it. The table
+    holds one stretch of the text after the other, so that its size does not grow with the text."""
     n = len(text)
     if n <= room:
         return [(0, n)]
     overlap = min(overlap, room // 4)
     s = strengths(text)
-    best = RangeMax(s)
+    base, best = 0, RangeMax(s[: STRETCH + room], room)
     out, start, least = [], 0, max(overlap + 1, room // 2)
     while n - start > room:
-        end = best.query(start + least, start + room)
+        if start + room >= base + best.n:
+            base, best = start, RangeMax(s[start : start + STRETCH + room], room)
+        end = base + best.query(start + least - base, start + room - base)
         if s[end] == 0:
             end = start + room
         out.append((start, end))
-        back = best.query(end - overlap, end - overlap * 3 // 4) if overlap else end
+        back = base + best.query(end - overlap - base, end - overlap * 3 // 4 - base) if overlap else end
         start = back if s[back] > 0 else end - overlap
     out.append((start, n))
     return out
