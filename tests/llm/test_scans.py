@@ -89,30 +89,69 @@ def test_boosting_learns():
     assert Boosted().fit([[0.0]], [1]).chance([5.0]) > 0.9
 
 
-@pytest.mark.parametrize("times", [1, 20, 400])
-def test_size_of_the_collection_does_not_matter(times):
+def repairer(spark, counts, text, alone=()):
+    """Decisions for a text in a collection with such counts of words."""
+    asked = S.questions(text, True, True) | {"w\t" + w.lower() for w in S.RUN.findall(text) if w.lower() not in counts}
+    rows = [("w\t" + w, n, 0, 0, n if w in alone else 0) for w, n in counts.items()] + [(k, 0, 0, 0, 0) for k in sorted(asked)]
+    tally = spark.createDataFrame(rows, "key string, n bigint, n_capital bigint, n_foreign bigint, n_alone bigint")
+    return S.Repairer({r["key"]: r["value"] for r in S.decisions(tally, S.learn(tally)).collect()})
+
+
+@pytest.mark.parametrize("times", [1, 400])
+def test_size_of_the_collection_does_not_matter(spark, times):
     counts = {w: 40 for w in TEXT} | {"1866": 79, "l866": 6, "l02": 30, "102": 15, "consti-tutional": 3, "well-known": 30}
-    c = S.Corrector(S.Words([(w, n * times, 0, 0) for w, n in sorted(counts.items()) if n * times >= S.LEAST_COUNT], S.TOKENIZER)).train()
-    r = S.Repairer(c)
-    assert r.token("l866,") == "1866" and r.token("l02") is None
-    text, found = r.text("the consti-tutional damages of a well-known l02 in l866", None, True, True)
+    text = "the consti-tutional damages of a well-known l02 in l866"
+    text, found = repairer(spark, {w: n * times for w, n in counts.items()}, text).text(text, None, True, True)
     assert text == "the constitutional damages of a well-known l02 in 1866"
     assert found == [("misread", "1866"), ("broken_word", "constitutional")]
 
 
+def test_codes_are_no_misread_numbers(spark):
+    counts = {w: 300 for w in TEXT} | {str(x): 50 for x in (12, 1866, 20, 100)}
+    r = repairer(spark, counts, "B12 G8 l00 I866, 2O% 5b (3rd) H2O")
+    assert [r.token(x) for x in ("B12", "G8", "l00", "I866,", "2O%", "5b", "(3rd)", "H2O")] == [None, None, "100", "1866", "20%", None, None, None]
+
+
 def test_short_words_stand_alone(spark):
     line = "the tax on each ore and the low-cost contract of a judge; docu- ent the peti-\nent of the ent-\nent be at rest"
-    df = spark.createDataFrame([(" ".join([line, *TEXT]),)] * 40, "text string")
-    c = S.learn(df)
-    assert {"tax", "ore", "low"} <= set(c.words.real) and "ent" not in c.words.real
+    df = spark.createDataFrame([(" ".join([line, *TEXT]), False, False, None)] * 40, "text string, blanks boolean, inner boolean, furniture array<string>")
+    tally = S.tallies(df)
+    real = {r["word"] for r in S.vocabulary(tally, S.learn(tally)).where("real").collect()}
+    assert {"tax", "ore", "low"} <= real and "ent" not in real
     counts = {w: 300 for w in TEXT} | {"tax": 206, "ore": 181, "be": 7000}
-    words = S.Words([(w, n, 0, 0) for w, n in sorted(counts.items())], S.TOKENIZER, alone=counts)
-    r = S.Repairer(S.Corrector(words).train())
+    r = repairer(spark, counts, "fax bc BC au", alone=counts)
     assert [r.token(x) for x in ("fax", "bc", "BC", "au")] == ["tax", "be", None, None]
 
 
-def test_no_candidate_is_cut_off():
-    words = S.Words([], S.TOKENIZER)
-    words.real = {a + b + c + d: 50 for a in "ce" for b in "nu" for c in "ft" for d in "gq" if a + b + c + d != "cnfg"}
-    near = {w for w in words.real if S.look_cost("cnfg", w) < 1}
-    assert len(near) == 10 and {w for _, _, w in S.Corrector(words).candidates("cnfg")} == near
+def test_no_candidate_is_missed_by_the_join():
+    rng = random.Random(4)
+    for _ in range(4000):
+        word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(6, 14)))
+        seen, k = word, 0
+        for _ in range(rng.randint(1, 2)):  # places apart, as confusions of what was confused already are changes of another kind
+            options = [(i, n, x) for i in range(k, len(seen)) for n in (1, 2) if i + n <= len(seen) for x in sorted(S.PAIRS.get(seen[i : i + n], ()))]
+            if options:
+                i, n, x = rng.choice(options)
+                seen, k = seen[:i] + x + seen[i + n :], i + len(x)
+        assert S.confusions(seen, word) is not None
+        frequency = {g: rng.randint(0, 9) for g, _ in S.gram_places(seen, (2, 3))}
+        all_of = S.gram_places(word, (2,) * (len(word) <= 10) + (3,) * (len(word) >= 7))
+        assert any(g == h and abs(p - q) <= 2 for g, p in S.telling_grams(seen, frequency) for h, q in all_of), (seen, word)
+
+
+def test_decisions_that_are_too_many_to_broadcast(tables, monkeypatch):
+    want = {tuple(r) for r in S.repair_scans(*tables, defects=True).collect()}
+    monkeypatch.setattr(S, "BROADCAST_BYTES", -1)
+    assert {tuple(r) for r in S.repair_scans(*tables, defects=True).collect()} == want and len(want) > 15
+
+
+def test_furniture_is_told_by_its_line_pairs(spark):
+    rng = random.Random(6)
+    lines = [(p * 100 + k, "b", p, paragraph(rng, 8) + ("." if k == 29 else ""), 100.0 + 20 * k, "") for p in range(60) for k in range(30)]
+    lines += [(9000 + p, "b", p, "Contract Law in Practice", 20.0, "") for p in range(60)] + [(9900 + p, "b", p, f"- {p} -", 800.0, "") for p in range(60)]
+    df = spark.createDataFrame(lines, LINE)
+    seeds = S.edge_keys(df, "book_id", "page", "raw", "y0")
+    model = S.learn_furniture(df, seeds, "book_id", "page", "raw", "y0")
+    f = S.Furniture(seeds.first()["seeds"].split("\n"), model)
+    assert model.trees and f.of(["the creditor explains", "Contract Law in Practicc", "- 12 -", "the liability of it"], 2) == ["", "running_line", "page_number", ""]
+    assert f.of(["the creditor", "Contract Law in Practice", "the liability"], 1) == [""] * 3
