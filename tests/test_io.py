@@ -39,8 +39,8 @@ def test_definition_and_files(spark, tmp_path):
     pytest.importorskip("yaml")
     (tmp_path / "book.yaml").write_text("book: {book_id: b, title: T, n_pages: 9}\nchapters: []\n")
     assert readers.book_definition(spark, str(tmp_path / "book.yaml"))[0].first()["title"] == "T"
-    (tmp_path / ".t2md").mkdir()
-    (tmp_path / ".t2md" / "state.json").write_text("{}")
+    (tmp_path / ".state").mkdir()
+    (tmp_path / ".state" / "state.json").write_text("{}")
     assert [r["path"].rsplit("/", 1)[-1] for r in readers.files_below(spark, str(tmp_path)).collect()] == ["book.yaml"]
     assert sinks.zip_folder(str(tmp_path), str(tmp_path.parent / "out.zip")) == 1
 

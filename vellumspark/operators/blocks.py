@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumspark.functions import text
+from vellumspark.operators import hyphen
 from vellumspark.operators.folds import fold_groups
 
 CHAPTER = ["book_id", "chapter_key"]
@@ -80,13 +81,15 @@ def segment_lines(lines: list[dict], body: float, gap: float, right: dict) -> li
     return out
 
 
-SEGMENTED = "book_id string, chapter_key string, line_id bigint, page int, order_no int, raw string, size double, bold boolean, x0 double, box int, conf double, para_no int"
+SEGMENTED = (
+    "book_id string, chapter_key string, line_id bigint, page int, order_no int, raw string, size double, bold boolean, italic boolean, x0 double, box int, conf double, x1 double, y0 double, y1 double, para_no int"
+)
 
 
 def segment(lines: DataFrame) -> DataFrame:
     """Lines with para_no. ``lines`` has order_no, col, body, gap, right_edge beside the line's own columns. One group is
     one chapter, which is bounded by its book; null sizes count as the body's."""
-    cols = ["book_id", "chapter_key", "line_id", "page", "order_no", "raw", "size", "bold", "x0", "box", "conf", "x1", "y0", "y1", "col", "body", "gap", "right_edge"]
+    cols = ["book_id", "chapter_key", "line_id", "page", "order_no", "raw", "size", "bold", "italic", "x0", "box", "conf", "x1", "y0", "y1", "col", "body", "gap", "right_edge"]
 
     def fold(rows: list[tuple]) -> list[tuple]:
         items = [dict(zip(cols, r)) for r in rows]
@@ -97,24 +100,37 @@ def segment(lines: DataFrame) -> DataFrame:
             for c in ("x0", "x1", "y0", "y1"):
                 it[c] = it[c] or 0.0
         no = segment_lines(items, body, 2.0 if gap is None else gap, right)
-        return [(*r[:9], r[9], r[10], n) for r, n in zip(rows, no)]
+        return [(*r[:15], n) for r, n in zip(rows, no)]
 
     return fold_groups(lines.select(*cols), CHAPTER, ["page", "order_no", "line_id"], fold, SEGMENTED)
 
 
-def paragraphs_of(segmented: DataFrame) -> DataFrame:
-    """One row per paragraph: text (lines joined), pages, size, bold, n_lines, kind, marker."""
+def paragraphs_of(segmented: DataFrame, vocab: DataFrame | None = None) -> DataFrame:
+    """One row per paragraph: text (lines joined), pages, size, bold, italic, n_lines, kind, marker, uncertain (cut words left
+    as they are). ``vocab`` holds the words of each book; by default those of the lines themselves."""
     df = segmented
-    item = F.struct("page", "order_no", "line_id", F.coalesce("raw", F.lit("")).alias("raw"))
+    item = F.struct("page", "order_no", "line_id", F.coalesce("raw", F.lit("")).alias("raw"), "x0", "y0", "x1", "y1")
     grouped = df.groupBy(*CHAPTER, "para_no").agg(
-        F.array_sort(F.collect_list(item)).alias("items"), F.round(F.max("size"), 1).alias("size"), F.min(F.coalesce("bold", F.lit(False))).alias("bold"), F.min("x0").alias("x0"), F.max("box").alias("box"), F.min("conf").alias("conf")
-    )
+        F.array_sort(F.collect_list(item)).alias("items"), F.round(F.max("size"), 1).alias("size"), F.min(F.coalesce("bold", F.lit(False))).alias("bold"), F.min(F.coalesce("italic", F.lit(False))).alias("italic"),
+        F.min("x0").alias("x0"), F.max("box").alias("box"), F.min("conf").alias("conf"),
+    )
     raws = F.transform("items", lambda x: x["raw"])
-    joined = F.regexp_replace(F.array_join(raws, "\n"), r"(?<=[–—/])\n|­\n", "")
-    df = grouped.withColumn("text", F.trim(F.regexp_replace(joined, r"[ \t]*\n[ \t]*", " "))).withColumn("pages", F.array_distinct(F.transform("items", lambda x: x["page"])))
+    df = grouped.withColumn("raw", F.array_join(raws, "\n")).withColumn("pages", F.array_distinct(F.transform("items", lambda x: x["page"])))
+    df = df.withColumn("y0", F.element_at("items", 1)["y0"]).withColumn("y1", F.element_at("items", -1)["y1"]).withColumn("x1", F.array_max(F.transform("items", lambda x: x["x1"])))
+    df = df.withColumn("bboxes", page_boxes(F.col("items")))
     first = F.element_at(raws, 1)
     kind = text.list_kind(first)
-    return df.withColumn("n_lines", F.size("items")).withColumn("kind", F.when(kind.isNotNull(), "list").otherwise("para")).withColumn("marker_kind", kind).drop("items")
+    df = df.withColumn("n_lines", F.size("items")).withColumn("kind", F.when(kind.isNotNull(), "list").otherwise("para")).withColumn("marker_kind", kind).withColumn("first_size", F.col("size")).drop("items", "first_size")
+    if vocab is None:
+        vocab = hyphen.inner_words(segmented, ["book_id"], "raw")
+    return hyphen.join_lines(df, [*CHAPTER, "para_no"], "raw", vocab, ["book_id"]).withColumnRenamed("joined", "text")
+
+
+def page_boxes(items: Column) -> Column:
+    """Box of a paragraph on each of its pages: page, x0, y0, x1, y1."""
+    edge = lambda page, f, c: f(F.transform(F.filter(items, lambda x: x["page"] == page), lambda x: x[c]))
+    pages = F.array_distinct(F.transform(items, lambda x: x["page"]))
+    return F.transform(pages, lambda p: F.struct(p.alias("page"), edge(p, F.array_min, "x0").alias("x0"), edge(p, F.array_min, "y0").alias("y0"), edge(p, F.array_max, "x1").alias("x1"), edge(p, F.array_max, "y1").alias("y1")))
 
 
 def heading_conf(ratio: Column, bold: Column, italic: Column, n_lines: Column, c: Column, boxed: Column, is_list: Column) -> Column:

@@ -61,8 +61,43 @@ def decide(pairs: DataFrame, vocab: DataFrame, keys: list[str]) -> DataFrame:
     return df.withColumn("verdict", verdict).drop("plain_hit", "hyph_hit", "joined", "hyphenated")
 
 
-def join_lines(c: Column) -> Column:
-    """Lines joined without a vocabulary: soft hyphens vanish, after a dash, slash or hyphen no blank is put in."""
-    c = F.regexp_replace(c, r"(?<=\S)\u00ad[ \t]*\n[ \t]*", "")
-    c = F.regexp_replace(c, r"(?<=[–—/\u2010\u2011-])[ \t]*\n[ \t]*", "")
-    return F.trim(F.regexp_replace(c, r"[ \t]*\n[ \t]*", " "))
+BREAK = r"(?<=\S[-\u2010\u2011\u00ad])[ \t]*\n[ \t]*(?=\S)"
+
+
+def inner_words(df: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """Vocabulary of lines: what a hyphen at the end cuts off proves nothing."""
+    return vocabulary(df.withColumn("_whole", F.regexp_replace(F.rtrim(F.col(column)), r"\S*[-\u2010\u2011\u00ad]$", "")), keys, "_whole")
+
+
+def join_lines(df: DataFrame, row: list[str], column: str, vocab: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` with ``joined``, the lines of ``column`` as one line, and ``uncertain``, the cut words that were left as they
+    are for want of proof. ``row`` names each row, ``keys`` the book whose vocabulary decides.
+
+    At a hyphen the verdict decides whether it stays, and no blank is put in; soft hyphens vanish; after a dash or slash no
+    blank is put in either. Only cut words, not texts, are joined with the vocabulary.
+    """
+    pieces = F.split(F.col(column), BREAK)
+    bounds = F.transform(
+        F.sequence(F.lit(1), F.size("_pieces") - 1),
+        lambda i: F.struct(
+            i.alias("i"), F.regexp_extract(F.element_at("_pieces", i), r"(?:^|[^A-Za-z\u2010\u2011\u00ad-])([A-Za-z]+)[-\u2010\u2011\u00ad]$", 1).alias("prefix"), F.right(F.element_at("_pieces", i), F.lit(1)).alias("sign"),
+            F.regexp_extract(F.element_at("_pieces", i + 1), r"^[A-Za-z]+", 0).alias("suffix"),
+        ),
+    )
+    named = list(dict.fromkeys([*row, *keys]))
+    cut = df.select(*named, pieces.alias("_pieces")).where(F.size("_pieces") > 1).select(*named, F.explode(bounds).alias("b")).select(*named, "b.*")
+    cut = cut.withColumn("suffix", F.when((F.col("prefix") == "") & (F.col("sign") != "\u00ad"), "").otherwise(F.col("suffix")))
+    verdicts = decide(cut, vocab, keys).groupBy(*row).agg(
+        F.map_from_entries(F.collect_list(F.struct("i", "verdict"))).alias("_verdicts"),
+        F.transform(F.array_sort(F.collect_list(F.when((F.col("verdict") == "UNCERTAIN"), F.struct("i", F.concat_ws("-", "prefix", "suffix").alias("w"))))), lambda x: x["w"]).alias("uncertain"),
+    )
+    out = df.withColumn("_pieces", pieces).join(verdicts, row, "left")
+    last = F.size("_pieces")
+    whole = F.array_join(F.transform("_pieces", lambda x, i: F.when((i + 1 < last) & (F.try_element_at("_verdicts", i + 1) == "JOIN"), F.left(x, F.length(x) - 1)).otherwise(x)), "")
+    return out.withColumn("joined", flat(whole)).withColumn("uncertain", F.coalesce("uncertain", F.array().cast("array<string>"))).drop("_pieces", "_verdicts")
+
+
+def flat(c: Column) -> Column:
+    """Lines without cut words as one line: no blank is put in after a dash or slash that a word stands before."""
+    c = F.regexp_replace(c, r"(?<=\S[\u2013\u2014/])[ \t]*\n[ \t]*(?=\S)", "")
+    return F.trim(F.regexp_replace(c, r"[ \t]*\n[ \t\n]*", " "))

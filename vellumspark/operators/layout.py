@@ -21,9 +21,12 @@ def body_size(lines: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def line_gap(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, gap: median gap between neighbouring lines of like size on a page, between -2 and 1.5 sizes."""
+    """keys, gap: median gap between neighbouring lines of like size on a page, between -2 and 1.5 sizes. Where ``lines`` has
+    its column (``col``), neighbours are of one column."""
     w = Window.partitionBy(*PAGE).orderBy("seq", "line_id")
     df = lines.withColumn("gap", F.col("y0") - F.lag("y1").over(w)).withColumn("d", F.abs(F.col("size") - F.lag("size").over(w)))
+    if "col" in lines.columns:
+        df = df.withColumn("_same", F.col("col") == F.lag("col").over(w)).where("_same")
     return df.where((F.col("d") < 0.3) & (F.col("gap") > -2) & (F.col("gap") < F.col("size") * 1.5)).groupBy(*keys).agg(F.round(F.median("gap"), 4).alias("gap"))
 
 
@@ -66,20 +69,22 @@ def page_box(lines: DataFrame) -> DataFrame:
 def gutters(lines: DataFrame, page_width: float = 612.0) -> DataFrame:
     """book_id, page, gutter of two-column pages.
 
-    Each narrow line crosses a range of whole x; counting by range ends (+1, -1) and a running sum gives the histogram
-    without a join of lines and positions. Runs of 8 or more positions that few lines cross are gaps, the widest wins.
+    Each narrow line crosses a range of whole x. Where ranges begin (+1) and end (-1) a running sum changes, so stretches
+    between such places, not positions, are counted. Runs of 8 or more positions that few lines cross are gaps, the widest wins.
     """
     w = Window.partitionBy(*PAGE)
     body = lines.where("zone is null or zone = 'body'").withColumn("n", F.count("*").over(w)).withColumn("a", F.min("x0").over(w)).withColumn("b", F.max("x1").over(w))
     body = body.where((F.col("n") >= 8) & (F.col("b") - F.col("a") >= page_width * 0.4))
     narrow = body.where((F.col("x1") - F.col("x0") < (F.col("b") - F.col("a")) * 0.62) & (F.length(F.trim("raw")) > 2)).withColumn("m", F.count("*").over(w)).where("m >= 8")
     lo, hi = F.floor(F.col("a") + (F.col("b") - F.col("a")) * 0.3).cast("int"), F.floor(F.col("a") + (F.col("b") - F.col("a")) * 0.7).cast("int")
-    first, last = F.floor(F.col("x0") + 0.5).cast("int") + 1, F.ceil(F.col("x1") - 0.5).cast("int") - 1
-    crossed = narrow.where(last >= first).select(*PAGE, F.explode(F.sequence(first, last)).alias("x")).groupBy(*PAGE, "x").agg(F.count("*").alias("c"))
-    every = narrow.groupBy(*PAGE).agg(F.max("m").alias("m"), F.max(lo).alias("lo"), F.max(hi).alias("hi")).select(*PAGE, "m", F.explode(F.sequence("lo", "hi")).alias("x"))
-    free = every.join(crossed, [*PAGE, "x"], "left").where(F.coalesce("c", F.lit(0)) <= F.greatest(F.lit(1), F.floor(F.col("m") * 0.08)))
-    run = F.col("x") - F.row_number().over(Window.partitionBy(*PAGE).orderBy("x"))
-    gaps = free.withColumn("r", run).groupBy(*PAGE, "r").agg(F.min("x").alias("g0"), F.max("x").alias("g1"), F.max("m").alias("m")).where("g1 - g0 >= 7")
+    first, last = F.floor(F.col("x0") + 0.5).cast("int") + 1, F.ceil(F.col("x1") - 0.5).cast("int")
+    ends = F.array(F.struct(first.alias("x"), F.when(last > first, 1).otherwise(0).alias("d")), F.struct(last.alias("x"), F.when(last > first, -1).otherwise(0).alias("d")), F.struct(lo.alias("x"), F.lit(0).alias("d")), F.struct((hi + 1).alias("x"), F.lit(0).alias("d")))
+    events = narrow.select(*PAGE, "m", lo.alias("lo"), hi.alias("hi"), F.explode(ends).alias("e")).groupBy(*PAGE, F.col("e.x").alias("x")).agg(F.sum("e.d").alias("d"), F.max("m").alias("m"), F.max("lo").alias("lo"), F.max("hi").alias("hi"))
+    by_x = Window.partitionBy(*PAGE).orderBy("x")
+    parts = events.withColumn("c", F.sum("d").over(by_x)).withColumn("end", F.lead("x").over(by_x) - 1).where("x >= lo and end <= hi")
+    free = (F.col("c") <= F.greatest(F.lit(1), F.floor(F.col("m") * 0.08))).cast("int")
+    runs = parts.withColumn("free", free).withColumn("r", F.sum(F.when(F.col("free") == 0, 1).otherwise(0)).over(by_x.rowsBetween(Window.unboundedPreceding, 0))).where("free = 1")
+    gaps = runs.groupBy(*PAGE, "r").agg(F.min("x").alias("g0"), F.max("end").alias("g1"), F.max("m").alias("m")).where("g1 - g0 >= 7")
     best = F.row_number().over(Window.partitionBy(*PAGE).orderBy(F.desc(F.col("g1") - F.col("g0")), "g0"))
     gap = gaps.withColumn("k", best).where("k = 1").select(*PAGE, ((F.col("g0") + F.col("g1")) / 2).alias("gutter"))
     sides = narrow.join(gap, PAGE).groupBy(*PAGE, "gutter").agg(F.count_if(F.col("x1") <= F.col("gutter") + 1).alias("l"), F.count_if(F.col("x0") >= F.col("gutter") - 1).alias("r"), F.max("m").alias("m"))
@@ -179,7 +184,9 @@ def reading_order(lines: DataFrame, gutter: DataFrame) -> DataFrame:
     def fold(rows: list[tuple]) -> list[tuple]:
         book, page, gap = rows[0][0], rows[0][1], rows[0][8]
         items = [(y0, y1, x0, i, x1, zone) for _, _, i, y0, y1, x0, x1, zone, _ in rows if y0 is not None and y1 is not None]
-        return [(book, page, i, k) for k, i in enumerate(page_order(items, gap))]
+        order = page_order(items, gap)
+        order += [r[2] for r in rows if r[3] is None or r[4] is None]  # lines without a place come last
+        return [(book, page, i, k) for k, i in enumerate(order)]
 
     cols = ["book_id", "page", "line_id", "y0", "y1", "x0", "x1", "zone", "gutter"]
     placed = lines.join(gutter, PAGE, "left").select(*cols)

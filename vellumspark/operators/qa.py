@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections import Counter, defaultdict
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumspark.functions import numeric, text
-from vellumspark.operators.folds import fold_groups
 from vellumspark.model import severity_rank
 
 CHAPTER = ["book_id", "chapter_key"]
@@ -61,10 +64,20 @@ def blank_pages(lines: DataFrame) -> DataFrame:
 
 
 def char_counts(df: DataFrame, keys: list[str], column: str) -> DataFrame:
-    """Multiset of letters and digits in lower case. Counted per text before the shuffle: the array of characters of one
-    text is reduced to a map first, so at most an alphabet leaves a row."""
-    chars = F.explode(F.split(F.regexp_replace(F.lower(F.col(column)), r"[^\p{L}\p{N}]", ""), ""))
-    return df.where(F.col(column).isNotNull()).select(*keys, chars.alias("ch")).where("ch <> ''").groupBy(*keys, "ch").agg(F.count("*").alias("n"))
+    """keys, ch, n: multiset of letters and digits, NFKC, in lower case. Each Arrow batch is counted to a map per key before
+    anything is shuffled, so an alphabet, not the text, leaves a task."""
+    schema = df.select(*keys).schema
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            held: dict[tuple, Counter] = defaultdict(Counter)
+            for *key, value in b.itertuples(index=False, name=None):
+                held[tuple(key)].update(unicodedata.normalize("NFKC", value).lower())
+            rows = [(*key, ch, n) for key, c in held.items() for ch, n in c.items() if ch.isalpha() or ch.isnumeric()]
+            yield pd.DataFrame(rows, columns=[*keys, "ch", "n"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    return df.where(F.col(column).isNotNull()).select(*keys, column).mapInPandas(run, f"{fields}, ch string, n bigint").groupBy(*keys, "ch").agg(F.sum("n").alias("n"))
 
 
 def char_loss(df: DataFrame, keys: list[str], source: str, output: str) -> DataFrame:
@@ -168,31 +181,32 @@ def number_difference(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def number_issues(source: DataFrame, output: DataFrame) -> DataFrame:
-    """Changed, missing and unexpected numbers of each chapter, from (book_id, chapter_key, token, page, ctx) and
-    (book_id, chapter_key, token, page).
+    """severity, code, source, output, page of the changed, missing and unexpected numbers of each chapter, from (book_id,
+    chapter_key, token, page, ctx) and (book_id, chapter_key, token, page).
 
-    Equal tokens cancel out before anything is grouped, by counts; only the differences go to the greedy pairing, which
-    is a fold over the sorted differences of one chapter.
+    Equal tokens cancel out before anything is grouped, by counts; only the differences of a chapter, in order of token, are
+    paired: each missing number takes the first unexpected one that may be its misprint and is still free.
     """
     n_a = source.groupBy(*CHAPTER, "token").agg(F.count("*").alias("a"), F.min(F.struct("page", "ctx")).alias("first"))
     n_b = output.groupBy(*CHAPTER, "token").agg(F.count("*").alias("b"), F.min("page").alias("page_b"))
     diff = n_a.join(n_b, [*CHAPTER, "token"], "full").withColumn("d", F.coalesce("a", F.lit(0)) - F.coalesce("b", F.lit(0))).where("d <> 0")
-    diff = diff.select(*CHAPTER, "token", F.col("d").cast("int").alias("d"), F.coalesce("first.page", "page_b").alias("page"), F.coalesce(numeric.clinical(F.col("token"), F.col("first.ctx")), F.lit(False)).alias("clinical"))
-
-    def fold(rows: list[tuple]) -> list[tuple]:
-        book, key = rows[0][:2]
-        gone = [r for r in rows if r[3] > 0 for _ in range(r[3])]
-        extra = [r for r in rows if r[3] < 0 for _ in range(-r[3])]
-        out = []
-        for _, _, token, _, page, clinical in gone:
-            k = next((i for i, u in enumerate(extra) if numeric.is_similar(token, u[2])), None)
-            if k is None:
-                out.append((book, key, "HIGH" if clinical else "MEDIUM", "MISSING_NUMBER", token, None, page))
-            else:
-                out.append((book, key, "CRITICAL" if clinical else "HIGH", "CHANGED_NUMBER", token, extra.pop(k)[2], page))
-        return out + [(book, key, "MEDIUM", "UNEXPECTED_NUMBER", None, u[2], u[4]) for u in extra]
-
-    return fold_groups(diff, CHAPTER, ["token"], fold, "book_id string, chapter_key string, severity string, code string, source string, output string, page int")
+    row = F.struct("token", F.coalesce("first.page", "page_b").cast("int").alias("page"), F.coalesce(numeric.clinical(F.col("token"), F.col("first.ctx")), F.lit(False)).alias("clinical"), F.abs("d").cast("int").alias("times"))
+    both = diff.groupBy(*CHAPTER).agg(F.array_sort(F.collect_list(F.when(F.col("d") > 0, row))).alias("gone"), F.array_sort(F.collect_list(F.when(F.col("d") < 0, row))).alias("extra"))
+    each = lambda c: F.flatten(F.transform(F.col(c), lambda x: F.array_repeat(x, x["times"])))
+    item = "struct<token:string,page:int,clinical:boolean,times:int>"
+    empty = F.struct(each("extra").cast(f"array<{item}>").alias("left"), F.array().cast("array<struct<severity:string,code:string,source:string,output:string,page:int>>").alias("out"))
+
+    def step(acc: Column, g: Column) -> Column:
+        at = F.coalesce(F.array_position(F.transform(acc["left"], lambda u: numeric.similar(g["token"], u["token"])), True), F.lit(0)).cast("int")
+        hit = at > 0
+        left = F.when(hit, F.concat(F.slice(acc["left"], F.lit(1), F.greatest(at - 1, F.lit(0))), F.slice(acc["left"], at + 1, F.greatest(F.size(acc["left"]) - at, F.lit(0))))).otherwise(acc["left"])
+        severity = F.when(hit, F.when(g["clinical"], "CRITICAL").otherwise("HIGH")).otherwise(F.when(g["clinical"], "HIGH").otherwise("MEDIUM"))
+        found = F.struct(severity.alias("severity"), F.when(hit, "CHANGED_NUMBER").otherwise("MISSING_NUMBER").alias("code"), g["token"].alias("source"), F.when(hit, F.get(acc["left"], at - 1)["token"]).alias("output"), g["page"].alias("page"))
+        return F.struct(left.alias("left"), F.concat(acc["out"], F.array(found)).alias("out"))
+
+    folded = both.select(*CHAPTER, F.aggregate(each("gone"), empty, step).alias("f"))
+    rest = F.transform("f.left", lambda u: F.struct(F.lit("MEDIUM").alias("severity"), F.lit("UNEXPECTED_NUMBER").alias("code"), F.lit(None).cast("string").alias("source"), u["token"].alias("output"), u["page"].alias("page")))
+    return folded.select(*CHAPTER, F.explode(F.concat("f.out", rest)).alias("i")).select(*CHAPTER, "i.*")
 
 
 def status_of(issues: DataFrame, chapters: DataFrame, failed: DataFrame | None = None) -> DataFrame:

@@ -127,7 +127,8 @@ def _numbers(df, column):
     return df.where(F.col(column).isNotNull()).select("book_id", "chapter_key", F.explode(numeric.tokens(F.col(column))).alias("token"))
 
 
-NUM_SQL = r"""SELECT book_id, chapter_key, token FROM (SELECT book_id, chapter_key, regexp_replace(regexp_replace(unnest(regexp_extract_all({c}, '(^|[^A-Za-z0-9])((?:[<>≤≥±~])?\s?\d+(?:[.,]\d+)*(?:\s?%)?)', 2)), '\s+', '', 'g'), '[.,]+$', '') AS token FROM b WHERE {c} IS NOT NULL) WHERE token <> ''"""
+NUM = r"(^|[^A-Za-z0-9])((?:[<>≤≥±~])?\s?\d+(?:[.,]\d+)*(?:\s?%)?)"
+NUM_SQL = rf"""SELECT book_id, chapter_key, token FROM (SELECT book_id, chapter_key, regexp_replace(regexp_replace(unnest(regexp_extract_all(nfc_normalize({{c}}), '{NUM}', 2)), '\s+', '', 'g'), '[.,]+$', '') AS token FROM b WHERE {{c}} IS NOT NULL) WHERE token <> ''"""
 
 
 @query(f"WITH {BLOCKS}, a AS ({NUM_SQL.format(c='raw')}), z AS ({NUM_SQL.format(c='md')}) SELECT *, 'missing' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM z) UNION ALL SELECT *, 'unexpected' FROM (SELECT * FROM z EXCEPT ALL SELECT * FROM a)")
@@ -136,15 +137,34 @@ def e1_number_difference(spark, d):
     return qa.number_difference(_numbers(b, "raw"), _numbers(b, "md"))
 
 
-@query()
+DIGITS = "regexp_replace({c}, '[^0-9]', '', 'g')"
+SIMILAR = """(({x} = {y} AND {a} <> {b}) OR (length({x}) > 1 AND list_sort(string_split({x}, '')) = list_sort(string_split({y}, ''))) OR (length({x}) = length({y}) AND len(list_filter(list_zip(string_split({x}, ''), string_split({y}, '')), lambda p: p[1] IS DISTINCT FROM p[2])) = 1)
+  OR (abs(length({x}) - length({y})) = 1 AND (starts_with({x}, {y}) OR starts_with({y}, {x}) OR ends_with({x}, {y}) OR ends_with({y}, {x}))))""".format(x=DIGITS.format(c="g.token"), y=DIGITS.format(c="u.token"), a="g.token", b="u.token")
+
+
+@query(rf"""WITH RECURSIVE {BLOCKS}, ra AS (SELECT book_id, chapter_key, pages[1] AS page, nfc_normalize(raw) AS s FROM b WHERE raw IS NOT NULL),
+w AS (SELECT book_id, chapter_key, page, s, unnest(regexp_extract_all(s, '{NUM}', 2)) AS m, unnest(list_transform(string_split_regex(regexp_replace(s, '{NUM}', '\1' || chr(1) || '\2' || chr(2), 'g'), chr(1)), lambda x, i: i)[2:]) AS i,
+  string_split_regex(regexp_replace(s, '{NUM}', '\1' || chr(1) || '\2' || chr(2), 'g'), chr(1)) AS parts FROM ra),
+c AS (SELECT book_id, chapter_key, page, regexp_replace(regexp_replace(m, '\s+', '', 'g'), '[.,]+$', '') AS token,
+  left(replace(regexp_replace(array_to_string(parts[i:], ''), '^[^' || chr(2) || ']*' || chr(2), ''), chr(2), ''), 14) AS ctx FROM w),
+ga AS (SELECT book_id, chapter_key, token, count(*) AS a, min({{'p': page, 'c': ctx}}) AS f FROM c WHERE token <> '' GROUP BY 1, 2, 3),
+gb AS (SELECT book_id, chapter_key, token, count(*) AS b, min(page) AS pb FROM (SELECT book_id, chapter_key, pages[1] AS page, regexp_replace(regexp_replace(unnest(regexp_extract_all(nfc_normalize(md), '{NUM}', 2)), '\s+', '', 'g'), '[.,]+$', '') AS token FROM b WHERE md IS NOT NULL) WHERE token <> '' GROUP BY 1, 2, 3),
+d AS (SELECT coalesce(ga.book_id, gb.book_id) AS book_id, coalesce(ga.chapter_key, gb.chapter_key) AS chapter_key, coalesce(ga.token, gb.token) AS token, coalesce(a, 0) - coalesce(b, 0) AS d, coalesce(f.p, pb) AS page, coalesce(f.c, '') AS ctx
+  FROM ga FULL JOIN gb ON ga.book_id = gb.book_id AND ga.chapter_key = gb.chapter_key AND ga.token = gb.token WHERE coalesce(a, 0) <> coalesce(b, 0)),
+e AS (SELECT *, contains(token, '%') OR contains(token, '.') OR regexp_matches(ctx, '{numeric.UNIT}') OR regexp_matches(token, '^[<>≤≥±~]') AS clinical, unnest(range(CAST(abs(d) AS BIGINT))) AS k FROM d),
+st AS (SELECT book_id, chapter_key, list({{'token': token, 'page': page, 'clinical': clinical}} ORDER BY token, k) FILTER (d > 0) AS gone, list({{'token': token, 'page': page, 'clinical': clinical}} ORDER BY token, k) FILTER (d < 0) AS extra FROM e GROUP BY 1, 2),
+f AS (SELECT book_id, chapter_key, coalesce(gone, []) AS gone, coalesce(extra, []) AS extra, 0 AS i, NULL::BIGINT AS hit, NULL::VARCHAR AS output FROM st
+  UNION ALL SELECT book_id, chapter_key, gone, CASE WHEN q.hit > 0 THEN list_concat(extra[:q.hit - 1], extra[q.hit + 1:]) ELSE extra END, f.i + 1, q.hit, CASE WHEN q.hit > 0 THEN extra[q.hit].token END
+  FROM f, LATERAL (SELECT coalesce(list_position(list_transform(extra, lambda u: {SIMILAR.replace('g.token', 'gone[f.i + 1].token')}), true), 0) AS hit) q WHERE f.i < len(gone)),
+o AS (SELECT book_id, chapter_key, gone[i] AS g, hit, output FROM f WHERE i > 0)
+SELECT book_id, chapter_key, CASE WHEN hit > 0 THEN CASE WHEN g.clinical THEN 'CRITICAL' ELSE 'HIGH' END ELSE CASE WHEN g.clinical THEN 'HIGH' ELSE 'MEDIUM' END END AS severity, CASE WHEN hit > 0 THEN 'CHANGED_NUMBER' ELSE 'MISSING_NUMBER' END AS code, g.token AS source, output, g.page AS page FROM o
+UNION ALL SELECT book_id, chapter_key, 'MEDIUM', 'UNEXPECTED_NUMBER', NULL, u.token, u.page FROM (SELECT book_id, chapter_key, unnest(extra) AS u FROM f WHERE i = len(gone))""")
 def e2_number_issues(spark, d):
     b = blocks(spark, d)
     page = F.try_element_at("pages", F.lit(1)).alias("page")
-    found = F.regexp_extract_all("raw", F.lit(numeric.NUMBER + r"(.{0,14})"), F.lit(0))
-    token = lambda m: F.element_at(numeric.tokens(m), 1)
-    src = b.where("raw is not null").select("book_id", "chapter_key", page, F.explode(found).alias("m")).select("book_id", "chapter_key", token(F.col("m")).alias("token"), "page", F.regexp_replace("m", "^" + numeric.NUMBER, "").alias("ctx"))
+    src = b.where("raw is not null").select("book_id", "chapter_key", page, F.explode(numeric.tokens_in_context(F.col("raw"))).alias("m")).select("book_id", "chapter_key", "page", "m.token", "m.ctx")
     out = b.where("md is not null").select("book_id", "chapter_key", page, F.explode(numeric.tokens(F.col("md"))).alias("token"))
-    return qa.number_issues(src.where("token is not null"), out)
+    return qa.number_issues(src, out)
 
 
 @query(rf"""WITH {BLOCKS}, h AS (SELECT *, lag(h_level) OVER (PARTITION BY book_id, chapter_key ORDER BY seq NULLS FIRST, block_id) AS before FROM b WHERE block_type = 'heading'),

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import functions as F
 
 from vellumspark.functions import text
 from vellumspark.operators import blocks as B
 from vellumspark.operators import chapters as C
+from vellumspark.operators import hyphen
 from vellumspark.operators import layout as L
 from vellumspark.operators import qa
 from vellumspark.plans.common import BLOCKS, CHAPTERS, LINES, PARAS, blocks, chapters, lines, paras
@@ -64,8 +67,15 @@ def b2_line_gap(spark, d):
     return L.line_gap(lines(spark, d), ["book_id", "chapter_key"])
 
 
-CHARS = r"""ra AS (SELECT book_id, chapter_key, ch, count(*) AS n FROM (SELECT book_id, chapter_key, unnest(string_split(regexp_replace(lower(raw), '[^\p{L}\p{N}]', '', 'g'), '')) AS ch FROM b WHERE raw IS NOT NULL) WHERE ch <> '' GROUP BY ALL),
-cl AS (SELECT book_id, chapter_key, ch, count(*) AS m FROM (SELECT book_id, chapter_key, unnest(string_split(regexp_replace(lower(clean), '[^\p{L}\p{N}]', '', 'g'), '')) AS ch FROM b WHERE clean IS NOT NULL) WHERE ch <> '' GROUP BY ALL)"""
+# What NFKC makes of a character, beyond NFC, by rule; for the SQL side, which has NFC only.
+_COMPAT = [(chr(k), x) for k in range(0xA0, 0x3000) if (x := unicodedata.normalize("NFKC", chr(k))) != unicodedata.normalize("NFC", chr(k))]
+_COMPAT += [(chr(k), unicodedata.normalize("NFKC", chr(k))) for k in [*range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F)]]
+_quoted = lambda x: "'" + x.replace("'", "''") + "'"
+CHARS = "kc AS (SELECT * FROM (VALUES " + ", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in _COMPAT) + ") t(ch, to_ch)), " + ", ".join(
+    rf"""{name} AS (SELECT book_id, chapter_key, ch, count(*) AS {n} FROM (SELECT book_id, chapter_key, unnest(string_split(regexp_replace(lower(coalesce(to_ch, c.ch)), '[^\p{{L}}\p{{N}}]', '', 'g'), '')) AS ch
+  FROM (SELECT book_id, chapter_key, unnest(string_split(nfc_normalize({column}), '')) AS ch FROM b WHERE {column} IS NOT NULL) c LEFT JOIN kc ON kc.ch = c.ch) WHERE ch <> '' GROUP BY ALL)"""
+    for name, n, column in (("ra", "n", "raw"), ("cl", "m", "clean"))
+)
 
 
 @query(f"""WITH {BLOCKS}, {CHARS} SELECT ra.book_id, ra.chapter_key, CAST(sum(n) AS BIGINT) AS n_source, CAST(sum(greatest(n - coalesce(m, 0), 0)) AS BIGINT) AS n_lost, round(sum(greatest(n - coalesce(m, 0), 0)) / sum(n), 5) AS loss_ratio
@@ -118,6 +128,67 @@ def b9_column_edges(spark, d):
     return L.column_edges(one)
 
 
+# A page of two columns: a head, a title over both, six rows, a figure legend over both, four rows, a page number.
+_ROWS = [(0, 60.0, 540.0, 30.0, 40.0, "Running head of the page"), (1, 60.0, 540.0, 104.0, 116.0, "A title over both columns of the page")]
+_ROWS += [(10 + 2 * k + side, 60.0 + 250 * side, 290.0 + 250 * side, 126.0 + 14 * k, 136.0 + 14 * k, f"row {k} of column {side}") for k in range(6) for side in (1, 0)]
+_ROWS += [(40, 60.0, 540.0, 216.0, 226.0, "A legend that stands over both columns")]
+_ROWS += [(50 + 2 * k + side, 60.0 + 250 * side, 290.0 + 250 * side, 240.0 + 14 * k, 250.0 + 14 * k, f"row {6 + k} of column {side}") for k in range(4) for side in (1, 0)]
+_ROWS += [(90, 280.0, 320.0, 815.0, 825.0, "17")]
+_ORDER = [0, 1, *range(10, 22, 2), *range(11, 22, 2), 40, *range(50, 58, 2), *range(51, 58, 2), 90]
+_IN_TWO = [i for i in _ORDER if i not in (0, 1, 40, 90)]
+
+
+def two_columns(spark):
+    rows = [("b", "c", 1, i, i, x0, y0, x1, y1, 10.0, raw, None) for i, x0, x1, y0, y1, raw in _ROWS]
+    return spark.createDataFrame(rows, "book_id string, chapter_key string, page int, line_id bigint, seq int, x0 double, y0 double, x1 double, y1 double, size double, raw string, zone string")
+
+
+@query("SELECT 'b' AS book_id, 1 AS page, 300.0::DOUBLE AS gutter")
+def b13_gutter(spark, d):
+    """The gutter of a hand-written page; the tables hold pages of one column only."""
+    return L.gutters(two_columns(spark))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, {k}, '{'F' if i not in _IN_TWO else 'LR'[i % 2]}')" for k, i in enumerate(_ORDER)) + ") t(line_id, order_no, col)")
+def b13_reading_order(spark, d):
+    """Order and column of the lines of that page: the left column before the right one, lines over both part them."""
+    ls = two_columns(spark)
+    zoned = ls.drop("zone").join(L.assign_zones(ls).withColumnRenamed("new_zone", "zone"), ["book_id", "page", "line_id"])
+    g = L.gutters(zoned)
+    return L.with_columns(zoned.join(L.reading_order(zoned, g), ["book_id", "page", "line_id"]), g).select("line_id", "order_no", "col")
+
+
+@query("SELECT * FROM (VALUES (0::BIGINT, 'top'), (90, 'bottom')) t(line_id, new_zone)")
+def b13_zones(spark, d):
+    return L.assign_zones(two_columns(spark)).where("new_zone is not null").select("line_id", "new_zone")
+
+
+@query("SELECT * FROM (VALUES ('F', 540.0::DOUBLE), ('L', 290.0), ('R', 540.0)) t(col, right_edge)")
+def b13_column_edges(spark, d):
+    ls = two_columns(spark)
+    return L.column_edges(L.with_columns(ls, L.gutters(ls))).select("col", "right_edge")
+
+
+@query("SELECT 4.0::DOUBLE AS gap")
+def b13_line_gap(spark, d):
+    """Gaps are those between lines of one column; in reading order, or else by position, lines side by side have none."""
+    ls = two_columns(spark)
+    return L.line_gap(L.with_columns(ls, L.gutters(ls)).withColumn("seq", F.col("x0").cast("int") * 1000 + F.col("y0").cast("int")), ["chapter_key"]).select("gap")
+
+
+@query("SELECT 3 AS page")
+def b14_short_page(spark, d):
+    """A page with hardly any text between full ones, and a page that is missing (b14_gap), on hand-written chapters."""
+    rows = [("b", "c", p, "x" * (5 if p == 3 else 400)) for p in range(1, 8) if p != 5]
+    return qa.short_pages(spark.createDataFrame(rows, "book_id string, chapter_key string, page int, raw string")).select("page")
+
+
+@query("SELECT * FROM (VALUES (5), (8)) t(page)")
+def b14_gap(spark, d):
+    rows = [("b", "c", p) for p in range(1, 8) if p != 5]
+    return qa.pages_skipped(spark.createDataFrame([("b", "c", 1, 8)], "book_id string, chapter_key string, page_from int, page_to int"), spark.createDataFrame(rows, "book_id string, chapter_key string, page int")).select("page")
+
+
 @query(f"""WITH {LINES}, bx AS (SELECT book_id, page, box, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM l WHERE box IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) >= 2)
 SELECT l.line_id, min(bx.box) AS box_found FROM l JOIN bx ON l.book_id = bx.book_id AND l.page = bx.page AND (l.x0 + l.x1) / 2 BETWEEN bx.x0 AND bx.x1 AND (l.y0 + l.y1) / 2 BETWEEN bx.y0 AND bx.y1 GROUP BY 1""")
 def b10_lines_in_boxes(spark, d):
@@ -159,6 +230,25 @@ def _paragraphs(spark, d):
     return B.segment(full)
 
 
+_LIST = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+@query(rf"""WITH {BLOCKS}, {LINES}, wd AS (SELECT DISTINCT book_id, unnest(list_transform(regexp_extract_all(regexp_replace(rtrim(raw), '\S*[-\x{{2010}}\x{{2011}}\x{{AD}}]$', ''), '[A-Za-z][A-Za-z\-]*[A-Za-z]|[A-Za-z]'), lambda x: lower(x))) AS w FROM l WHERE raw IS NOT NULL),
+pc AS (SELECT block_id, book_id, string_split(regexp_replace(raw, '(\S[-\x{{2010}}\x{{2011}}\x{{AD}}])[ \t]*\n[ \t]*(\S)', '\1' || chr(1) || '\2', 'g'), chr(1)) AS ps FROM b WHERE raw IS NOT NULL),
+p AS (SELECT block_id, book_id, generate_subscripts(ps, 1) AS i, unnest(ps) AS x, ps FROM pc),
+q AS (SELECT *, x[-1] AS sign, regexp_extract(x, '(?:^|[^A-Za-z\x{{2010}}\x{{2011}}\x{{AD}}-])([A-Za-z]+)[-\x{{2010}}\x{{2011}}\x{{AD}}]$', 1) AS pre, regexp_extract(ps[i + 1], '^[A-Za-z]+') AS suf FROM p),
+v AS (SELECT q.*, CASE WHEN i = len(ps) THEN 'END' WHEN sign = chr(173) THEN 'JOIN' WHEN pre = '' OR suf = '' OR regexp_matches(suf, '^[A-Z]') THEN 'KEEP' WHEN length(pre || suf) >= 4 AND a.w IS NOT NULL THEN 'JOIN' WHEN h.w IS NOT NULL THEN 'KEEP'
+  WHEN list_contains({_LIST(text.COMPOUND_PREFIXES)}, lower(pre)) OR length(pre) <= 1 THEN 'KEEP' WHEN length(pre) >= 3 AND length(suf) <= 12 AND len(list_filter({_LIST(text.COMMON_SUFFIXES)}, lambda e: ends_with(lower(suf), e))) > 0 THEN 'JOIN' ELSE 'UNCERTAIN' END AS verdict
+  FROM q LEFT JOIN wd a ON a.book_id = q.book_id AND a.w = lower(pre || suf) AND NOT contains(a.w, '-') LEFT JOIN wd h ON h.book_id = q.book_id AND h.w = lower(pre || '-' || suf)),
+j AS (SELECT block_id, string_agg(CASE WHEN verdict = 'JOIN' THEN x[:-2] ELSE x END, '' ORDER BY i) AS t, CAST(count(*) FILTER (verdict = 'UNCERTAIN') AS INT) AS n_uncertain FROM v GROUP BY 1)
+SELECT block_id, trim(regexp_replace(regexp_replace(t, '(\S[\x{{2013}}\x{{2014}}/])[ \t]*\n[ \t]*(\S)', '\1\2', 'g'), '[ \t]*\n[ \t\n]*', ' ', 'g')) AS joined, n_uncertain FROM j""")
+def h10_joined_lines(spark, d):
+    """Lines of blocks joined with the words of the book's lines as proof."""
+    vocab = hyphen.inner_words(lines(spark, d), ["book_id"], "raw")
+    out = hyphen.join_lines(blocks(spark, d).where("raw is not null").select("block_id", "book_id", "raw"), ["block_id"], "raw", vocab, ["book_id"])
+    return out.select("block_id", "joined", F.size("uncertain").alias("n_uncertain"))
+
+
 @query()
 def h2_paragraph_segments(spark, d):
     return _paragraphs(spark, d).select("book_id", "chapter_key", "line_id", "para_no")

@@ -24,7 +24,7 @@ def query(sql: str | None = None):
 
 
 @query(r"""
-WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '(^|[^A-Za-z0-9])((?:[<>≤≥±~])?\s?\d+(?:[.,]\d+)*(?:\s?%)?)', 2)) AS t FROM documents),
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(nfc_normalize(text), '(^|[^A-Za-z0-9])((?:[<>≤≥±~])?\s?\d+(?:[.,]\d+)*(?:\s?%)?)', 2)) AS t FROM documents),
 n AS (SELECT doc_id, regexp_replace(regexp_replace(t, '\s+', '', 'g'), '[.,]+$', '') AS token FROM t)
 SELECT doc_id, token, count(*) AS n FROM n WHERE token <> '' GROUP BY ALL""")
 def a1_numeric_tokens(spark, d):

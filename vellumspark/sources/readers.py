@@ -101,10 +101,8 @@ def files_below(spark: SparkSession, path: str, excluded: str = r"/(\.[^/]+|__py
 
 
 def page_numbers(lines: DataFrame) -> DataFrame:
-    """book_id, page, token, context (14 characters) of the numbers on lines in reading order."""
-    from vellumspark.functions.numeric import NUMBER, tokens
+    """book_id, page, seq, n, token, context (the characters behind it) of the numbers on lines in reading order."""
+    from vellumspark.functions.numeric import tokens_in_context
 
-    found = F.regexp_extract_all("raw", F.lit(NUMBER + ".{0,14}"), F.lit(0))
-    df = lines.where("raw is not null").select("book_id", "page", "seq", F.posexplode(found).alias("n", "m"))
-    first: Column = F.try_element_at(tokens(F.col("m")), F.lit(1))
-    return df.select("book_id", "page", "seq", "n", first.alias("token"), F.regexp_replace("m", "^" + NUMBER, "").alias("context")).where("token is not null")
+    df = lines.where("raw is not null").select("book_id", "page", "seq", F.posexplode(tokens_in_context(F.col("raw"))).alias("n", "m"))
+    return df.select("book_id", "page", "seq", "n", F.col("m.token").alias("token"), F.col("m.ctx").alias("context"))

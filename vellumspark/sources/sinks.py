@@ -84,7 +84,7 @@ def obsidian(markdown: DataFrame, column: str = "markdown") -> DataFrame:
     return markdown.withColumn(column, c)
 
 
-def zip_folder(folder: str, target: str, skipped: tuple[str, ...] = (".t2md", "__pycache__")) -> int:
+def zip_folder(folder: str, target: str, skipped: tuple[str, ...] = ("__pycache__",)) -> int:
     """Archive of a folder without hidden, temporary and state files; the number of files."""
     root, n = Path(folder), 0
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
