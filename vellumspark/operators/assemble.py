@@ -85,6 +85,23 @@ def markdown(blocks: DataFrame) -> DataFrame:
     return marked.groupBy(*CHAPTER).agg(F.array_join(F.transform(parts, lambda x: x["t"]), "\n\n").alias("markdown"), F.count("*").alias("n_blocks"))
 
 
+def contents(blocks: DataFrame, least: int = 3) -> DataFrame:
+    """book_id, chapter_key, toc: linked list of the headings of levels 2 and 3 of chapters with ``least`` of level 2."""
+    heads = heading_anchors(blocks.where("block_type = 'heading' and clean is not null"), "clean").where("h_level in (2, 3)")
+    line = F.concat(F.when(F.col("h_level") == 3, "  - [").otherwise("- ["), F.col("clean"), F.lit("](#"), F.col("anchor"), F.lit(")"))
+    rows = F.array_sort(F.collect_list(F.struct("seq", "block_id", line.alias("line"))))
+    per = heads.groupBy(*CHAPTER).agg(F.count_if(F.col("h_level") == 2).alias("n"), F.array_join(F.transform(rows, lambda x: x["line"]), "\n").alias("list"))
+    return per.where(F.col("n") >= least).select(*CHAPTER, F.concat(F.lit("<!-- generated:toc -->\n"), F.col("list"), F.lit("\n<!-- /generated:toc -->")).alias("toc"))
+
+
+def document(blocks: DataFrame, chapters: DataFrame, fields: tuple[str, ...] = ("title", "chapter_no")) -> DataFrame:
+    """Markdown of each chapter as ``markdown`` gives it, with front matter (``fields`` of the chapter) and contents list in
+    ``head``, which stands before it in the file but does not count in line numbers."""
+    about = front_matter(chapters.groupBy(*CHAPTER).agg(*[F.min(f).alias(f) for f in fields]), list(fields)).select(*CHAPTER, "front_matter")
+    df = markdown(blocks).join(about, CHAPTER, "left").join(contents(blocks), CHAPTER, "left")
+    return df.withColumn("head", F.concat_ws("\n\n", "front_matter", "toc")).drop("front_matter", "toc")
+
+
 def merge_runs(spans: Column) -> Column:
     """Neighbouring spans of equal style, without a page mark between, as one; empty spans are dropped."""
     empty = F.array().cast("array<struct<text:string,bits:int,mark:int>>")

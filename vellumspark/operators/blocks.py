@@ -208,13 +208,13 @@ def list_blocks(blocks: DataFrame) -> DataFrame:
     return blocks.where("block_type = 'list' and raw is not null").select("block_id", F.size(items).cast("bigint").alias("n_items"), F.array_join(F.transform(lines, sign), "\n").alias("list_md"))
 
 
-def match_captions(figures: DataFrame, captions: DataFrame, reach: float = 90.0) -> DataFrame:
-    """page, fig_no, cap_no: each caption goes to the nearest free figure of its page within reach that it overlaps
-    sideways. Greedy and one to one, so the pairs of one page are folded in order of distance."""
-    a, b = figures.alias("a"), captions.alias("b")
-    side = (F.col("a.x0") <= F.col("b.x1")) & (F.col("a.x1") >= F.col("b.x0"))
-    d = F.greatest(F.col("b.y0") - F.col("a.y1"), F.col("a.y0") - F.col("b.y1"), F.lit(0.0))
-    near = a.join(b, (F.col("a.page") == F.col("b.page")) & side).select(F.col("a.page").alias("page"), "fig_no", "cap_no", d.alias("d")).where(F.col("d") < reach)
+def match_captions(figures: DataFrame, captions: DataFrame, reach: float = 90.0, keys: list[str] | None = None) -> DataFrame:
+    """keys (page), fig_no, cap_no, distance: each caption goes to the nearest free figure of its page within reach that it
+    overlaps sideways. Greedy and one to one, so the pairs of one page are folded in order of distance."""
+    keys = keys or ["page"]
+    a, b = figures.select(*keys, "fig_no", *[F.col(c).alias(f"a_{c}") for c in ("x0", "y0", "x1", "y1")]), captions.select(*keys, "cap_no", "x0", "y0", "x1", "y1")
+    d = F.greatest(F.col("y0") - F.col("a_y1"), F.col("a_y0") - F.col("y1"), F.lit(0.0))
+    near = a.join(b, keys).where("a_x0 <= x1 and a_x1 >= x0").select(*keys, "fig_no", "cap_no", d.alias("d")).where(F.col("d") < reach)
     item = F.array_sort(F.collect_list(F.struct("d", "fig_no", "cap_no")))
     empty = F.array().cast("array<struct<d:double,fig_no:int,cap_no:int>>")
 
@@ -222,7 +222,7 @@ def match_captions(figures: DataFrame, captions: DataFrame, reach: float = 90.0)
         taken = F.exists(acc, lambda y: (y["fig_no"] == x["fig_no"]) | (y["cap_no"] == x["cap_no"]))
         return F.when(taken, acc).otherwise(F.concat(acc, F.array(x)))
 
-    return near.groupBy("page").agg(F.aggregate(item, empty, step).alias("p")).select("page", F.explode("p").alias("x")).select("page", "x.fig_no", "x.cap_no", F.round("x.d", 2).alias("distance"))
+    return near.groupBy(*keys).agg(F.aggregate(item, empty, step).alias("p")).select(*keys, F.explode("p").alias("x")).select(*keys, "x.fig_no", "x.cap_no", F.round("x.d", 2).alias("distance"))
 
 
 def link_footnotes(paras: DataFrame, notes: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellumspark.functions.text import CAPTION, label_anchor, normal_label
+from vellumspark.functions import numeric
+from vellumspark.functions.text import CAPTION, label_anchor, normal_label, strip_markdown
 from vellumspark.operators.folds import fold_groups
 from vellumspark.operators.qa import all_issues, issue
 
@@ -143,10 +144,13 @@ CAPTION_PARTS = r"(?i)^\s*(figure|fig\.?|plate|algorithm)\s+([0-9IVXA-Z][0-9.A-Z
 
 
 def place_orphans(captions: DataFrame, blocks: DataFrame) -> DataFrame:
-    """cap_id, after_id: block a caption without figure is put behind, the last of its page above it, else the one before
-    the first block below it; null if the page has none. captions and blocks: page, y0, seq."""
+    """cap_id, after_id, before_id: block a caption without figure is put behind, the last of its page above it, or else the
+    one it is put before, the first of its page below it; both null if the page has none. captions and blocks: page, y0, seq."""
     a, b = captions.alias("a"), blocks.alias("b")
-    return a.join(b, (F.col("a.page") == F.col("b.page")) & (F.col("b.y0") <= F.col("a.y0")), "left").groupBy(F.col("a.cap_id").alias("cap_id")).agg(F.max_by("b.block_id", "b.seq").alias("after_id"))
+    above = F.col("b.y0") <= F.col("a.y0")
+    both = a.join(b, F.col("a.page") == F.col("b.page"), "left").groupBy(F.col("a.cap_id").alias("cap_id"))
+    out = both.agg(F.max_by(F.when(above, F.col("b.block_id")), F.when(above, F.col("b.seq"))).alias("after_id"), F.min_by("b.block_id", "b.seq").alias("first_id"))
+    return out.select("cap_id", "after_id", F.when(F.col("after_id").isNull(), F.col("first_id")).alias("before_id"))
 
 
 def table_issues(tables: DataFrame) -> DataFrame:
@@ -161,10 +165,23 @@ def table_issues(tables: DataFrame) -> DataFrame:
     ])
 
 
+def table_number_issues(tables: DataFrame) -> DataFrame:
+    """Tables whose Markdown (md) and cells (raw_numbers) differ in their numbers, those of the caption and the notes excused.
+    A table that went to a file of its own is compared by its body (body_md)."""
+    counts = lambda c: F.map_from_entries(F.transform(F.array_distinct(c), lambda t: F.struct(t, F.size(F.filter(c, lambda x: x == t)))))
+    shown = numeric.tokens(strip_markdown(F.when((F.col("n_rows") > BIG_ROWS) | (F.col("n_rows") * F.col("n_cols") > BIG_CELLS), F.col("body_md")).otherwise(F.col("md"))))
+    df = tables.where("raw_numbers is not null").select("*", counts(F.col("raw_numbers")).alias("_a"), counts(F.coalesce(shown, F.array().cast("array<string>"))).alias("_b"), counts(F.coalesce(numeric.tokens(F.col("caption")), F.array().cast("array<string>"))).alias("_c"))
+    of = lambda m, t: F.coalesce(F.try_element_at(m, t), F.lit(0))
+    every = F.array_union(F.map_keys("_a"), F.map_keys("_b"))
+    left = lambda t: of(F.col("_b"), t) - F.least(of(F.col("_c"), t), F.greatest(of(F.col("_b"), t) - of(F.col("_a"), t), F.lit(0)))
+    differ = F.array_sort(F.filter(every, lambda t: left(t) != of(F.col("_a"), t)))
+    return issue(df.withColumn("_d", differ).where(F.size("_d") > 0), "HIGH", "TABLE_NUMERIC_MISMATCH", F.array_join(F.slice("_d", 1, 6), ", "), F.col("page"), F.col("block_id"))
+
+
 def count_issues(on_pages: DataFrame, blocks: DataFrame) -> DataFrame:
     """Figures on pages and in blocks that differ in number, tables of which none arrived. on_pages: book_id, chapter_key, t."""
     keys = ["book_id", "chapter_key"]
-    a = on_pages.groupBy(*keys).agg(F.count_if(F.col("t") == "figure").alias("figs"), F.count_if(F.col("t") == "table").alias("tabs"))
+    a = on_pages.groupBy(*keys).agg(F.count_if(F.col("t").isin("figure", "scanned")).alias("figs"), F.count_if(F.col("t") == "table").alias("tabs"))
     z = blocks.groupBy(*keys).agg(F.count_if(F.col("block_type").isin("figure", "unreadable")).alias("fig_blocks"), F.count_if(F.col("block_type") == "table").alias("tab_blocks"))
     df = a.join(z, keys, "left").fillna(0)
     text = F.concat_ws(" / ", F.col("figs").cast("string"), F.col("fig_blocks").cast("string"))

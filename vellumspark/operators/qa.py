@@ -82,16 +82,44 @@ def char_counts(df: DataFrame, keys: list[str], column: str) -> DataFrame:
 
 def char_loss(df: DataFrame, keys: list[str], source: str, output: str) -> DataFrame:
     """keys, n_source, n_lost, loss_ratio (5 digits): characters of the source that the output lacks."""
-    a, b = char_counts(df, keys, source), char_counts(df, keys, output).withColumnRenamed("n", "m")
-    both = a.join(b, [*keys, "ch"], "left").withColumn("lost", F.greatest(F.col("n") - F.coalesce("m", F.lit(0)), F.lit(0)))
+    return lost_chars(char_counts(df, keys, source), char_counts(df, keys, output), keys)
+
+
+def lost_chars(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    both = a.join(b.withColumnRenamed("n", "m"), [*keys, "ch"], "left").withColumn("lost", F.greatest(F.col("n") - F.coalesce("m", F.lit(0)), F.lit(0)))
     out = both.groupBy(*keys).agg(F.sum("n").alias("n_source"), F.sum("lost").alias("n_lost"))
     return out.withColumn("loss_ratio", F.round(F.col("n_lost") / F.col("n_source"), 5))
 
 
 def text_loss(df: DataFrame, source: str, output: str) -> DataFrame:
-    loss = char_loss(df, CHAPTER, source, output).where("loss_ratio > 0.003")
+    return loss_issues(char_loss(df, CHAPTER, source, output))
+
+
+def loss_issues(loss: DataFrame) -> DataFrame:
     severe = F.col("loss_ratio") > 0.01
-    return issue(loss, F.when(severe, "HIGH").otherwise("MEDIUM"), F.when(severe, "TEXT_LOSS").otherwise("TEXT_LOSS_MINOR"), F.col("loss_ratio").cast("string"))
+    return issue(loss.where("loss_ratio > 0.003"), F.when(severe, "HIGH").otherwise("MEDIUM"), F.when(severe, "TEXT_LOSS").otherwise("TEXT_LOSS_MINOR"), F.col("loss_ratio").cast("string"))
+
+
+def page_flags(pages: DataFrame) -> DataFrame:
+    """Issues out of the flags of pages (book_id, chapter_key, page, flags): failed recognition, encoding artefacts."""
+    each = pages.select(*CHAPTER, "page", F.explode("flags").alias("flag"))
+    failed = each.where(F.startswith("flag", F.lit("ocr_failed")))
+    return all_issues([
+        issue(failed, "HIGH", "OCR_FAILED", F.trim(F.regexp_replace("flag", "^ocr_failed:?", "")), F.col("page")),
+        issue(each.where("flag = 'encoding_artifact'"), "MEDIUM", "ENCODING_ARTIFACT", F.lit("private-use or replacement characters"), F.col("page")),
+    ])
+
+
+def encoding_pages(lines: DataFrame) -> DataFrame:
+    """book_id, chapter_key, page, flags of pages that hold private-use or replacement characters."""
+    hit = lines.where(F.col("raw").rlike(text.ENCODING_ARTEFACT)).select(*CHAPTER, "page").distinct()
+    return hit.withColumn("flags", F.array(F.lit("encoding_artifact")))
+
+
+def helper_errors(errors: DataFrame, most: int = 3) -> DataFrame:
+    """AI_UNAVAILABLE for up to ``most`` distinct errors (book_id, chapter_key, error) of a helper that could not be asked."""
+    n = F.row_number().over(Window.partitionBy(*CHAPTER).orderBy("error"))
+    return issue(errors.select(*CHAPTER, "error").distinct().withColumn("_n", n).where(F.col("_n") <= most), "LOW", "AI_UNAVAILABLE", F.col("error"))
 
 
 def heading_issues(blocks: DataFrame) -> DataFrame:
@@ -132,9 +160,9 @@ def figure_mentions(blocks: DataFrame, chapters: DataFrame) -> DataFrame:
     """Figures of the chapter's own number that are mentioned but have no caption."""
     own = chapters.where("chapter_no is not null").select(*CHAPTER, "chapter_no").distinct()
     found = F.regexp_extract_all(F.col("clean"), F.lit(r"\b(?:Figure|Fig\.) (\d+\.\d+)"), F.lit(1))
-    mentioned = blocks.where("block_type not in ('caption', 'heading')").select(*CHAPTER, F.explode(found).alias("n")).distinct()
+    mentioned = blocks.where("block_type in ('paragraph', 'list', 'callout')").select(*CHAPTER, F.explode(found).alias("n")).distinct()
     mine = mentioned.join(own, CHAPTER).where(F.regexp_extract("n", r"^(\d+)\.", 1).cast("int") == F.col("chapter_no"))
-    have = blocks.where("block_type = 'caption'").select(*CHAPTER, F.regexp_extract("clean", r"(?i)^\s*(?:figure|fig\.?)\s+(\d+\.\d+)", 1).alias("n")).distinct()
+    have = blocks.where("block_type in ('caption', 'figure')").select(*CHAPTER, F.regexp_extract("clean", r"(?i)^\s*(?:figure|fig\.?)\s+(\d+\.\d+)", 1).alias("n")).distinct()
     return issue(mine.join(have, [*CHAPTER, "n"], "left_anti"), "MEDIUM", "FIGURE_MENTION_MISSING", F.concat(F.lit("Figure "), F.col("n")))
 
 

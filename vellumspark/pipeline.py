@@ -7,13 +7,14 @@ the second converts all chapters at once, so the result does not depend on the o
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumspark.functions import numeric, text
-from vellumspark.operators import assemble, blocks, chapters, layout, qa, rag, search
-from vellumspark.session import checkpointed
+from vellumspark.operators import assemble, blocks, chapters, hyphen, layout, qa, rag, search, stream
+from vellumspark.session import written
 
 CHAPTER = ["book_id", "chapter_key"]
 
@@ -46,65 +47,68 @@ def metadata(books: DataFrame, lines: DataFrame) -> DataFrame:
     return df.select("book_id", title.alias("title"), F.coalesce("edition", F.lit("")).alias("edition"), F.concat(word, F.coalesce("edition", F.lit(""))).alias("short_id"))
 
 
-def paragraphs(lines: DataFrame) -> DataFrame:
-    """Paragraphs of all chapters: running lines out, reading order, segmentation."""
+def segmented(lines: DataFrame) -> DataFrame:
+    """Lines with the number of their paragraph: running lines out, reading order, segmentation. Lines without a place come
+    last on their page; a book without sizes has a body of 10 points."""
     kept = layout.without_running(lines).where("not removed").withColumn("zone", F.col("kept_zone"))
-    ls = checkpointed(kept.drop("removed", "kept_zone"))
-    g = checkpointed(layout.gutters(ls))
-    placed = checkpointed(layout.with_columns(ls.join(layout.reading_order(ls, g), ["book_id", "page", "line_id"]), g))
-    full = placed.join(layout.body_size(ls, ["book_id"]), "book_id").join(layout.line_gap(ls, CHAPTER), CHAPTER, "left").join(layout.column_edges(placed), ["book_id", "page", "col"])
-    paras = blocks.paragraphs_of(blocks.segment(full)).join(layout.body_size(ls, ["book_id"]), "book_id")
+    at = written(layout.placed(written(kept.drop("removed", "kept_zone"))))
+    gap = layout.line_gap(at.withColumn("seq", F.col("order_no")), CHAPTER)
+    return blocks.segment(at.join(layout.body_size(at, ["book_id"]), "book_id", "left").join(gap, CHAPTER, "left").join(layout.column_edges(at), ["book_id", "page", "col"]))
+
+
+def paragraphs(lines: DataFrame, vocab: DataFrame | None = None) -> DataFrame:
+    """Paragraphs of all chapters; cut words are joined with the words of the book (and of ``vocab``: book_id, word, is_hyph)."""
+    words = hyphen.inner_words(lines, ["book_id"], "raw")
+    found = segmented(lines)
+    paras = blocks.paragraphs_of(found, words if vocab is None else hyphen.merge_vocabulary(words, vocab)).join(layout.body_size(found, ["book_id"]), "book_id", "left").fillna(10.0, ["body"])
     return paras.withColumn("seq", F.col("para_no")).withColumn("para_id", F.xxhash64(*CHAPTER, "para_no"))
 
 
-def to_blocks(paras: DataFrame, threshold: float = 0.6) -> DataFrame:
-    """Blocks of paragraphs: headings with levels, captions, references, lists, formulas, paragraphs, with Markdown, path
-    and flags. Low recognition confidence is flagged, and as severe where digits are concerned."""
-    c = F.col("text")
-    conf = blocks.heading_conf(F.col("size") / F.col("body"), F.coalesce("bold", F.lit(False)), F.lit(False), F.col("n_lines"), c, F.col("box").isNotNull() & (F.col("box") >= 0), F.col("kind") == "list")
-    df = paras.withColumn("h_conf", conf)
-    head = F.col("h_conf") >= threshold
-    kinds = blocks.classify(df, head)
-    levels = blocks.heading_levels(kinds.where("block_type = 'heading'"), ["book_id"]).select("para_id", F.col("level").alias("h_level"))
-    kinds = kinds.join(levels, "para_id", "left")
-    hashes = F.repeat(F.lit("#"), F.coalesce("h_level", F.lit(2)))
-    md = F.when(F.col("block_type") == "heading", F.concat_ws(" ", hashes, text.escape_md(c))).when(F.col("block_type") == "caption", text.bold_label(text.escape_md(c))).when(
-        F.col("block_type") == "reference", text.autolink(reference_md(c))
-    ).when(F.col("block_type") == "list", c).otherwise(assemble.paragraph_md(c))
-    flags = F.array_compact(F.array(F.when(F.col("conf") < 0.8, "OCR_LOW_CONFIDENCE"), F.when(head & (F.col("h_conf") < threshold), "HEADING_AMBIGUOUS")))
-    df = kinds.select(
-        F.col("para_id").alias("block_id"), *CHAPTER, F.col("para_no").alias("seq"), "block_type", F.lit(None).cast("string").alias("section_id"), md.alias("md"), c.alias("raw"), c.alias("clean"), "pages", "conf", "h_level", flags.alias("flags"), "h_conf"
-    )
+def with_sections(df: DataFrame) -> DataFrame:
+    """Blocks with section_id and heading_path."""
     paths = assemble.heading_paths(df)
     ids = assemble.sections(df).select(*CHAPTER, "section_no", F.col("section_id").alias("sid"))
     out = paths.join(ids, [*CHAPTER, "section_no"], "left")
     return out.withColumn("section_id", F.coalesce("sid", F.lit("start"))).withColumn("heading_path", F.col("path")).drop("sid", "path", "section_no", "section_level")
 
 
-def reference_md(c: Column) -> Column:
-    """A reference with an anchor by its number."""
-    n = F.regexp_extract(c, r"^\s*[\[(]?(\d{1,4})[\].)]", 1)
-    return F.when(n != "", F.concat(F.lit('<a id="ref-'), n, F.lit('"></a>'), c)).otherwise(c)
-
-
-def block_issues(b: DataFrame) -> DataFrame:
-    """Issues that conversion itself finds: doubtful headings, low recognition confidence, doubled words."""
-    page, i = F.try_element_at("pages", F.lit(1)), F.col("block_id")
-    doubtful = b.where((F.col("h_conf") >= 0.4) & (F.col("h_conf") < 0.6) & (F.col("block_type") != "heading"))
-    low = b.where(F.array_contains("flags", "OCR_LOW_CONFIDENCE"))
-    twice = qa.doubled_words(b, [*CHAPTER, "block_id", "pages"], "clean", most=20, order=["seq"])
-    return qa.all_issues([
-        qa.issue(doubtful, "MEDIUM", "HEADING_AMBIGUOUS", F.col("clean"), page, i),
-        qa.issue(low, F.when(F.size(numeric.tokens(F.col("clean"))) > 0, "HIGH").otherwise("MEDIUM"), "OCR_LOW_CONFIDENCE", F.col("conf").cast("string"), page, i),
-        qa.issue(twice, "LOW", "POSSIBLE_SOURCE_TYPO", F.col("word"), page, i),
+def to_blocks(paras: DataFrame, threshold: float = 0.6, **given: DataFrame) -> DataFrame:
+    """Blocks of paragraphs in the stream of their chapter, with section and path."""
+    return with_sections(stream.block_stream(paras, threshold=threshold, **given)[0])
+
+
+def convert(
+    lines: DataFrame, chapter_table: DataFrame, items: DataFrame | None = None, vocab: DataFrame | None = None, resolved: DataFrame | None = None, memory: DataFrame | None = None, page_flags: DataFrame | None = None,
+    failed: DataFrame | None = None, only: DataFrame | None = None,
+) -> Converted:
+    """All outputs of the chapters of the lines, or of those in ``only`` (book_id, chapter_key): what a book's chapters share
+    is worked out from all lines all the same. ``items`` are figures and tables (stream.ITEM), ``page_flags`` what a reader
+    said of pages, ``failed`` the chapters that could not be read: they get a status, and the others are converted."""
+    paras = paragraphs(lines, vocab)
+    if only is not None:
+        wanted = only.select(*CHAPTER).distinct()
+        paras, lines, chapter_table = (df.join(wanted, CHAPTER, "left_semi") for df in (paras, lines, chapter_table))
+    raw_blocks, found = stream.block_stream(paras, chapter_table, items if items is None or only is None else items.join(wanted, CHAPTER, "left_semi"), resolved, memory)
+    b = written(with_sections(raw_blocks))
+    text_lines = layout.without_running(lines).where("not removed and raw is not null")
+    shown = b.withColumn("shown", text.strip_markdown(F.col("md")))
+    page = F.try_element_at("pages", F.lit(1)).alias("page")
+    src = text_lines.select(*CHAPTER, "page", F.explode(numeric.tokens_in_context(F.col("raw"))).alias("m")).select(*CHAPTER, "page", "m.token", "m.ctx")
+    out = shown.select(*CHAPTER, page, F.explode(numeric.tokens(F.col("shown"))).alias("token"))
+    chars, seen = text_lines.select(*CHAPTER, "raw"), lines.select(*CHAPTER, "page")
+    if items is not None:  # what stands in figures and tables is no line of text
+        here = items if only is None else items.join(wanted, CHAPTER, "left_semi")
+        src = src.unionByName(here.select(*CHAPTER, "page", F.explode("raw_numbers").alias("token"), F.lit("").alias("ctx")))
+        chars = chars.unionByName(here.select(*CHAPTER, F.concat_ws(" ", F.when(F.col("t") == "table", F.col("clean")), F.array_join("labels", " ")).alias("raw")))
+        seen = seen.unionByName(here.select(*CHAPTER, "page"))
+    numbers = qa.number_issues(src, out)
+    flags = qa.encoding_pages(lines) if page_flags is None else qa.encoding_pages(lines).unionByName(page_flags.select(*CHAPTER, "page", "flags"))
+    issues = qa.all_issues([
+        found, qa.heading_issues(b), qa.citation_issues(b), qa.figure_mentions(b, chapter_table), qa.mark_issues(b), qa.short_pages(lines), qa.blank_pages(lines), qa.pages_skipped(chapter_table, seen),
+        qa.pages_not_in_output(text_lines, b), qa.loss_issues(qa.lost_chars(qa.char_counts(chars, CHAPTER, "raw"), qa.char_counts(shown, CHAPTER, "shown"), CHAPTER)),
+        qa.issue(numbers, F.col("severity"), F.col("code"), F.concat_ws(" → ", "source", "output"), F.col("page")), qa.page_flags(flags),
     ])
-
-
-def convert(lines: DataFrame, chapter_table: DataFrame) -> Converted:
-    """All outputs of all chapters of the lines."""
-    b = checkpointed(to_blocks(paragraphs(lines)))
-    issues = qa.all_issues([qa.heading_issues(b), qa.citation_issues(b), qa.mark_issues(b), qa.short_pages(lines), qa.blank_pages(lines), qa.pages_skipped(chapter_table, lines), block_issues(b)])
-    return Converted(b, assemble.sections(b), assemble.source_map(b), assemble.markdown(b), issues, qa.status_of(issues, chapter_table), rag.chunks(b))
+    return Converted(b, assemble.sections(b), assemble.source_map(b), assemble.document(b, chapter_table), issues, qa.status_of(issues, chapter_table, failed), rag.chunks(b))
 
 
 def inspect(books: DataFrame, lines: DataFrame) -> DataFrame:
@@ -126,13 +130,31 @@ def chapter_payload(c: Converted, book_id: str, chapter_key: str) -> DataFrame:
     return df.join(own, "block_id", "left").select("block_id", "block_type", "page_marker", "line_start", "line_end", F.col("part").alias("markdown"), F.coalesce("codes", F.array().cast("array<string>")).alias("codes"))
 
 
-def find(blocks_table: DataFrame, query: str, limit: int = 50, chapter_key: str | None = None, block_type: str | None = None) -> DataFrame:
-    """Hits of a full-text query over text, path, with snippet, best first."""
-    where = [F.col(k) == v for k, v in (("chapter_key", chapter_key), ("block_type", block_type)) if v is not None]
-    cond = where[0] & where[1] if len(where) == 2 else where[0] if where else None
+SEARCHED, WEIGHTS = ["clean", "path_text", "chapter_title"], [1.0, 0.4, 0.2]
+
+
+def search_index(blocks_table: DataFrame, chapter_table: DataFrame | None = None, path: str | None = None) -> search.Index:
+    """Index over text, heading path and chapter title of the blocks."""
     units = blocks_table.withColumn("path_text", F.array_join("heading_path", " "))
-    hits = search.search(units, "block_id", ["clean", "path_text"], query, [1.0, 0.4], limit, cond)
-    terms = search.parse_query(query)
-    first = terms[0].words[0] if terms else ""
-    found = hits.join(units, hits["unit_id"] == units["block_id"])
-    return found.select("block_id", *CHAPTER, "block_type", "heading_path", "pages", "score", search.snippet(F.col("clean"), first).alias("snippet")).orderBy(F.desc("score"), "block_id")
+    if chapter_table is None:
+        units = units.withColumn("chapter_title", F.lit(None).cast("string"))
+    else:
+        units = units.join(chapter_table.groupBy(*CHAPTER).agg(F.min("title").alias("chapter_title")), CHAPTER, "left")
+    return search.build(units, "block_id", SEARCHED, path)
+
+
+def find_units(index: search.Index, query: str, limit: int = 50, among: DataFrame | None = None) -> DataFrame:
+    return search.find(index, query, WEIGHTS, limit, among)
+
+
+def find(blocks_table: DataFrame, query: str, limit: int = 50, chapter_key: str | None = None, block_type: str | None = None, specialty: str | None = None, index: search.Index | None = None) -> DataFrame:
+    """Hits of a full-text query over text, path and chapter title, with snippet, best first.
+
+    Without an index one is made of the blocks. ``specialty`` is part of the column of that name and needs it.
+    """
+    where = [F.col(k) == v for k, v in (("chapter_key", chapter_key), ("block_type", block_type)) if v is not None]
+    where += [] if specialty is None else [F.contains(F.lower("specialty"), F.lit(specialty.lower()))]
+    among = reduce(DataFrame.where, where, blocks_table).select(F.col("block_id").alias("unit_id")) if where else None
+    hits = find_units(index or search_index(blocks_table), query, limit, among)
+    found = hits.join(blocks_table, hits["unit_id"] == blocks_table["block_id"])
+    return found.select("block_id", *CHAPTER, "block_type", "heading_path", "pages", "score", search.snippet(F.col("clean"), search.parse_query(query)).alias("snippet")).orderBy(F.desc("score"), "block_id")

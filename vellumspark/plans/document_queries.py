@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vellumspark import pipeline
 from vellumspark.functions import numeric, text
 from vellumspark.model import CHUNK_CHARS, CONTENT_TYPE, DONE_STATES, literal_map
 from vellumspark.operators import assemble as A
@@ -32,7 +33,17 @@ def query(sql: str | None = None):
 
 # ---- C: search -------------------------------------------------------------------------------------------------
 
-TOK = r"regexp_extract_all(lower({c}), '[\p{{L}}\p{{N}}]+')"
+TOK = r"regexp_extract_all(strip_accents(lower({c})), '[\p{{L}}\p{{N}}]+')"
+_INDEXES: dict = {}
+
+
+def _blocks_index(spark, d):
+    """The index over the text of blocks, made once per session and folder, as queries share it."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _INDEXES:
+        _INDEXES[key] = search.build(blocks(spark, d), "block_id", ["clean"])
+    return _INDEXES[key]
+
 BM25 = """
 tf AS (SELECT t, unit_id, sum(n * w) AS tf FROM hits GROUP BY 1, 2), df AS (SELECT t, count(*) AS df FROM tf GROUP BY 1), ok AS (SELECT unit_id FROM tf GROUP BY 1 HAVING count(*) = (SELECT max(t) + 1 FROM hits)),
 s AS (SELECT count(*) AS n, avg(k) AS a FROM len)
@@ -47,28 +58,28 @@ def word_hits(t: int, condition: str, c: str = "clean", w: float = 1.0, table: s
 
 @query(f"WITH {BLOCKS}, {ONE}, hits AS ({word_hits(0, '''x = 'method' ''')} UNION ALL {word_hits(1, '''starts_with(x, 'exampl') ''')}), {BM25.format(where='', limit=50)}")
 def c1_bm25_and(spark, d):
-    return search.search(blocks(spark, d), "block_id", ["clean"], "method exampl")
+    return search.find(_blocks_index(spark, d), "method exampl")
 
 
 @query(f"""WITH {BLOCKS}, {ONE}, tk AS (SELECT block_id, {TOK.format(c='clean')} AS ts FROM b WHERE clean IS NOT NULL), ps AS (SELECT block_id, ts, unnest(range(1, len(ts))) AS i FROM tk),
 hits AS (SELECT 0 AS t, block_id AS unit_id, 1.0 AS w, count(*) AS n FROM ps WHERE ts[i] = 'in' AND ts[i + 1] = 'most' AND ts[i + 2] = 'cases' GROUP BY 2), {BM25.format(where='', limit=50)}""")
 def c2_phrase(spark, d):
-    return search.search(blocks(spark, d), "block_id", ["clean"], '"in most cases"')
+    return search.find(_blocks_index(spark, d), '"in most cases"')
 
 
 @query(f"WITH {BLOCKS} SELECT block_id AS unit_id FROM b WHERE len(list_filter({TOK.format(c='clean')}, lambda x: starts_with(x, 'frequen'))) > 0")
 def c3_prefix(spark, d):
-    return search.matches(blocks(spark, d), "block_id", ["clean"], search.Term(("frequen",), True)).select("unit_id")
+    return search.matches(_blocks_index(spark, d), search.Term(("frequen",), True)).select("unit_id")
 
 
 @query(f"WITH {BLOCKS}, {ONE}, hits AS ({word_hits(0, '''x = 'result' ''')} UNION ALL {word_hits(1, '''starts_with(x, 'common') ''')}), {BM25.format(where='''JOIN b ON b.block_id = tf.unit_id AND block_type = 'paragraph' AND book_id LIKE '%1%' ''', limit=20)}")
 def c4_filtered(spark, d):
-    return search.search(blocks(spark, d), "block_id", ["clean"], "result common", limit=20, where=(F.col("block_type") == "paragraph") & F.col("book_id").like("%1%"))
+    return search.find(_blocks_index(spark, d), "result common", limit=20, among=blocks(spark, d).where((F.col("block_type") == "paragraph") & F.col("book_id").like("%1%")).select(F.col("block_id").alias("unit_id")))
 
 
-@query(rf"""WITH {BLOCKS}, t AS (SELECT block_id, regexp_extract_all(clean, '[\p{{L}}\p{{N}}]+') AS ts FROM b WHERE clean IS NOT NULL), p AS (SELECT block_id, ts, list_position(list_transform(ts, lambda x: lower(x)), 'example') AS pos FROM t),
+@query(rf"""WITH {BLOCKS}, t AS (SELECT block_id, regexp_extract_all(clean, '[\p{{L}}\p{{N}}][\p{{L}}\p{{N}}\x{{0300}}-\x{{036F}}]*') AS ts FROM b WHERE clean IS NOT NULL), p AS (SELECT block_id, ts, list_position(list_transform(ts, lambda x: strip_accents(lower(x))), 'example') AS pos FROM t),
 s AS (SELECT *, greatest(1, least(pos - 14, len(ts) - 27)) AS st FROM p WHERE pos > 0)
-SELECT block_id, CASE WHEN st > 1 THEN ' … ' ELSE '' END || array_to_string(list_transform(ts[st:st + 27], lambda x: CASE WHEN lower(x) = 'example' THEN '[[' || x || ']]' ELSE x END), ' ') || CASE WHEN st + 28 <= len(ts) THEN ' … ' ELSE '' END AS snippet FROM s""")
+SELECT block_id, CASE WHEN st > 1 THEN ' … ' ELSE '' END || array_to_string(list_transform(ts[st:st + 27], lambda x: CASE WHEN strip_accents(lower(x)) = 'example' THEN '[[' || x || ']]' ELSE x END), ' ') || CASE WHEN st + 28 <= len(ts) THEN ' … ' ELSE '' END AS snippet FROM s""")
 def c5_snippet(spark, d):
     return blocks(spark, d).where("clean is not null").select("block_id", search.snippet(F.col("clean"), "example").alias("snippet")).where("snippet is not null")
 
@@ -79,6 +90,19 @@ def c6_weighted_columns(spark, d):
     return search.search(documents(spark, d), "doc_id", ["text", "title"], "protein cell", [1.0, 0.4])
 
 
+@query(f"""WITH {BLOCKS}, {CHAPTERS}, u AS (SELECT b.block_id, clean, array_to_string(list_filter(heading_path, lambda x: x IS NOT NULL), ' ') AS path, t.title FROM b LEFT JOIN (SELECT book_id, chapter_key, min(title) AS title FROM c GROUP BY 1, 2) t ON t.book_id = b.book_id AND t.chapter_key = b.chapter_key),
+len AS (SELECT block_id AS unit_id, coalesce(len({TOK.format(c='clean')}), 0) + coalesce(len({TOK.format(c='path')}), 0) + coalesce(len({TOK.format(c='title')}), 0) AS k FROM u),
+hits AS ({" UNION ALL ".join(word_hits(t, cond, c, w, 'u') for t, cond in ((0, "x = 'method' "), (1, "starts_with(x, 'exam') ")) for c, w in (('clean', 1.0), ('path', 0.4), ('title', 0.2)))}), {BM25.format(where='', limit=50)}""")
+def c9_three_columns(spark, d):
+    return pipeline.find_units(pipeline.search_index(blocks(spark, d), chapters(spark, d)), "method exam")
+
+
+@query("""SELECT * FROM (VALUES (1, 'see the [[heart rate]] of the [[drugs]] in use'), (2, NULL)) t(id, snippet)""")
+def c10_phrase_snippet(spark, d):
+    df = spark.createDataFrame([(1, "See the Heart-Rate of the drugs in use"), (2, "none of it")], "id int, text string")
+    return df.select("id", F.lower(search.snippet(F.col("text"), search.parse_query('"heart rate" drug'))).alias("snippet"))
+
+
 @query(f"WITH {BLOCKS}, {CHAPTERS} SELECT content_type, count(*) AS n FROM (SELECT CASE block_type WHEN 'heading' THEN 'heading' WHEN 'list' THEN 'list' WHEN 'table' THEN 'table' WHEN 'figure' THEN 'figure' WHEN 'unreadable' THEN 'figure' WHEN 'caption' THEN 'figure' WHEN 'callout' THEN 'callout' WHEN 'reference' THEN 'reference' ELSE 'text' END AS content_type FROM b WHERE trim(clean) <> '') GROUP BY 1")
 def c7_index_units(spark, d):
     return blocks(spark, d).where("trim(clean) <> ''").select(literal_map(CONTENT_TYPE)[F.col("block_type")].alias("content_type")).groupBy("content_type").agg(F.count("*").alias("n"))
@@ -189,7 +213,7 @@ def e5_citation_issues(spark, d):
 
 
 @query(rf"""WITH {BLOCKS}, {CHAPTERS}, own AS (SELECT DISTINCT book_id, chapter_key, chapter_no FROM c WHERE chapter_no IS NOT NULL),
-m AS (SELECT DISTINCT book_id, chapter_key, unnest(regexp_extract_all(clean, '\b(?:Figure|Fig\.) (\d+\.\d+)', 1)) AS n FROM b WHERE block_type NOT IN ('caption', 'heading')),
+m AS (SELECT DISTINCT book_id, chapter_key, unnest(regexp_extract_all(clean, '\b(?:Figure|Fig\.) (\d+\.\d+)', 1)) AS n FROM b WHERE block_type IN ('paragraph', 'list', 'callout')),
 k AS (SELECT DISTINCT book_id, chapter_key, regexp_extract(clean, '(?i)^\s*(?:figure|fig\.?)\s+(\d+\.\d+)', 1) AS n FROM b WHERE block_type = 'caption')
 SELECT book_id, chapter_key, 'Figure ' || n AS message FROM m JOIN own USING (book_id, chapter_key) WHERE CAST(regexp_extract(n, '^(\d+)\.', 1) AS INT) = chapter_no AND NOT EXISTS (SELECT 1 FROM k WHERE k.book_id = m.book_id AND k.chapter_key = m.chapter_key AND k.n = m.n)""")
 def e6_figure_mentions(spark, d):

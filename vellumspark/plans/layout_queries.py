@@ -6,6 +6,7 @@ import unicodedata
 
 from pyspark.sql import functions as F
 
+from vellumspark import pipeline
 from vellumspark.functions import text
 from vellumspark.operators import blocks as B
 from vellumspark.operators import chapters as C
@@ -13,7 +14,7 @@ from vellumspark.operators import hyphen
 from vellumspark.operators import layout as L
 from vellumspark.operators import qa
 from vellumspark.plans.common import BLOCKS, CHAPTERS, LINES, PARAS, blocks, chapters, lines, paras
-from vellumspark.session import checkpointed, table
+from vellumspark.session import table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -220,16 +221,6 @@ def f7_table_quality(spark, d):
     return L.table_quality(spark.createDataFrame(CELLS, CELL_SCHEMA))
 
 
-def _paragraphs(spark, d):
-    kept = L.without_running(lines(spark, d)).where("not removed").withColumn("zone", F.col("kept_zone"))
-    # Read six times below: the cleaned lines are written once instead of joined anew each time.
-    ls = checkpointed(kept.drop("removed", "kept_zone"))
-    g = checkpointed(L.gutters(ls))
-    placed = checkpointed(L.with_columns(ls.join(L.reading_order(ls, g), ["book_id", "page", "line_id"]), g))
-    full = placed.join(L.body_size(ls, ["book_id"]), "book_id").join(L.line_gap(ls, ["book_id", "chapter_key"]), ["book_id", "chapter_key"], "left").join(L.column_edges(placed), ["book_id", "page", "col"])
-    return B.segment(full)
-
-
 _LIST = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
 
@@ -251,12 +242,12 @@ def h10_joined_lines(spark, d):
 
 @query()
 def h2_paragraph_segments(spark, d):
-    return _paragraphs(spark, d).select("book_id", "chapter_key", "line_id", "para_no")
+    return pipeline.segmented(lines(spark, d)).select("book_id", "chapter_key", "line_id", "para_no")
 
 
 @query()
 def h2_paragraphs(spark, d):
-    return B.paragraphs_of(_paragraphs(spark, d))
+    return pipeline.paragraphs(lines(spark, d)).select("book_id", "chapter_key", "para_no", "text", "pages", "size", "bold", "n_lines", "kind", "uncertain")
 
 
 CONF_SQL = rf"""WITH {PARAS}, {LINES}, body AS (SELECT book_id, body FROM (SELECT book_id, body, row_number() OVER (PARTITION BY book_id ORDER BY n DESC, body) AS k FROM

@@ -8,6 +8,8 @@ from vellumspark import pipeline
 from vellumspark.operators import figures as G
 from vellumspark.operators import layout as L
 from vellumspark.operators import spans as S
+from vellumspark.operators import stream
+from vellumspark.plans import fixture_book
 from vellumspark.plans.common import BLOCKS, CHAPTERS, LINES, blocks, chapters, lines
 from vellumspark.session import table
 from vellumspark.sources import readers, sinks
@@ -107,7 +109,7 @@ def j10_figure_blocks(spark, d):
     return G.figure_blocks(spark.createDataFrame([(1, "f.png", "Fig. 3.2 Cells", ["a", "b"])], "fig_id int, asset string, caption string, labels array<string>"))
 
 
-@query("""SELECT * FROM (VALUES (1, 12::BIGINT), (2, NULL)) t(cap_id, after_id)""")
+@query("""SELECT * FROM (VALUES (1, 12::BIGINT, NULL::BIGINT), (2, NULL, 14)) t(cap_id, after_id, before_id)""")
 def j11_orphan_places(spark, d):
     caps = spark.createDataFrame([(1, 1, 300.0), (2, 2, 50.0)], "cap_id int, page int, y0 double")
     return G.place_orphans(caps, spark.createDataFrame([(11, 1, 1, 100.0), (12, 1, 2, 250.0), (13, 1, 3, 400.0), (14, 2, 4, 90.0)], "block_id bigint, page int, seq int, y0 double"))
@@ -165,9 +167,60 @@ def k4_converted_status(spark, d):
     return pipeline.convert(lines(spark, d), chapters(spark, d)).status
 
 
+def _converted(spark):
+    flags = spark.createDataFrame([("b", "c2", 3, ["ocr_failed: no engine"])], "book_id string, chapter_key string, page int, flags array<string>")
+    return pipeline.convert(fixture_book.lines(spark), fixture_book.chapters(spark), fixture_book.items(spark), page_flags=flags)
+
+
+_N = "' || chr(10) || '"
+
+
+def _values(rows: list[tuple], names: str) -> str:
+    cell = lambda x: str(x) if isinstance(x, int) else "NULL" if x is None else "'" + x.replace("'", "''").replace("\n", _N) + "'"
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) t({names})"
+
+
+BOOK = [
+    ("c1", 1, "heading", "# Cell Walls"),
+    ("c1", 2, "paragraph", "The wall of a plant cell is made of cellulose, takes 5 mg and gives a firm shape[^fn1-x] in well-known cases of growth."),
+    ("c1", 3, "footnote", "[^fn1-x]: Measured dry."),
+    ("c1", 4, "heading", "## Layers"),
+    ("c1", 5, "list", "- primary wall\n  - middle layer\n- cellulose"),
+    ("c1", 6, "figure", '<a id="figure-1-1"></a>\n\n![Figure 1.1](figure_c1_01.png)\n\nFigure 1.1. A wall\n\n<details><summary>Labels in the figure</summary>\n\nlumen\n\n</details>'),
+    ("c1", 7, "formula", "$$\nE = m \\times v\n$$"),
+    ("c1", 8, "paragraph", "The the text goes on as Figure 1.2 shows with an odd-bod in it.\n<!-- UNCERTAIN: low OCR confidence, page 1 -->"),
+    ("c1", 9, "paragraph", "‡ Nowhere marked."),
+    ("c1", 10, "callout", "> **Key points**\n>\n> Walls are firm."),
+    ("c1", 11, "table", '<a id="table-1-1"></a>\nTable 1.1: Doses\n\n| Drug | Dose |\n| --- | --- |\n| A | 12 mg |'),
+    ("c1", 12, "callout", "> **WARNING**\n>\n> Keep them dry [1,3]."),
+    ("c1", 13, "heading", "## References"),
+    ("c1", 14, "reference", '<a id="ref-1"></a>1. Author A. On walls and their layers, at <https://walls.test/a>.'),
+    ("c1", 15, "reference", '<a id="ref-2"></a>2. Author B. On cells.'),
+    ("c2", 1, "heading", "# Another Title"),
+    ("c2", 2, "paragraph", "Some text of the second chapter, which ends here."),
+    ("c2", 3, "unreadable", "<!-- UNCERTAIN: source text unreadable, page 4 -->\n[Unreadable source text]\n\n![Scanned page 4](figure_c2_01.png)"),
+]
+BOOK_ISSUES = [
+    ("c1", "CALLOUT_INFERRED", 2), ("c1", "CITATION_NOT_IN_LIST", None), ("c1", "FIGURE_MENTION_MISSING", None), ("c1", "FOOTNOTE_UNLINKED", 1), ("c1", "FORMULA_LATEX", 1), ("c1", "HYPHEN_UNCERTAIN", 1),
+    ("c1", "MISSING_NUMBER", 2), ("c1", "OCR_LOW_CONFIDENCE", 1), ("c1", "TABLE_HEADER_INFERRED", 2), ("c1", "TABLE_LOW_CONFIDENCE", 2), ("c1", "TABLE_NUMERIC_MISMATCH", 2),
+    ("c2", "OCR_FAILED", 3), ("c2", "PAGE_UNREADABLE", 4), ("c2", "TITLE_MISMATCH", 3),
+]
+
+
+@query(_values(BOOK, "chapter_key, seq, block_type, md"))
+def k9_book_blocks(spark, d):
+    """Every kind of block, out of the lines, figures and tables of the hand-written book."""
+    return _converted(spark).blocks.select("chapter_key", "seq", "block_type", "md")
+
+
+@query(_values(BOOK_ISSUES, "chapter_key, code, page"))
+def k9_book_issues(spark, d):
+    return _converted(spark).issues.select("chapter_key", "code", "page")
+
+
 @query(rf"""WITH {BLOCKS} SELECT block_id, CASE WHEN regexp_matches(clean, '^\s*[\[(]?(\d{{1,4}})[\].)]') THEN '<a id="ref-' || regexp_extract(clean, '^\s*[\[(]?(\d{{1,4}})[\].)]', 1) || '"></a>' || clean ELSE clean END AS md FROM b WHERE block_type = 'reference' AND clean IS NOT NULL""")
 def k5_reference_anchors(spark, d):
-    return blocks(spark, d).where("block_type = 'reference' and clean is not null").select("block_id", pipeline.reference_md(F.col("clean")).alias("md"))
+    return blocks(spark, d).where("block_type = 'reference' and clean is not null").select("block_id", stream.reference_md(F.col("clean")).alias("md"))
 
 
 @query("""SELECT time_bucket(INTERVAL '10 minutes', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2""")
