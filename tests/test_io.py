@@ -91,3 +91,48 @@ def test_remaining(spark):
     done = spark.createDataFrame([("b", "c", 1, "1.4", True), ("b", "c", 2, "1.3", True), ("b", "c", 3, "1.4", None)], "book_id string, chapter_key string, page int, parser_version string, ocr boolean")
     left = incremental.remaining_pages(want, done, ["book_id", "chapter_key", "page"], "1.4", True)
     assert sorted(r["page"] for r in left.collect()) == [2, 3, 4]
+
+
+def test_guards_of_files(spark, tmp_path):
+    (tmp_path / "ok.pdf").write_bytes(b"%PDF-1.4 ... /Type /Page ... %%EOF")
+    (tmp_path / "locked.pdf").write_bytes(b"%PDF-1.4 /Encrypt 1 0 R /Type /Page")
+    (tmp_path / "broken.pdf").write_bytes(b"hello")
+    (tmp_path / "empty.pdf").write_bytes(b"")
+    (tmp_path / "none.pdf").write_bytes(b"%PDF-1.4 /Catalog")
+    got = {r["path"].rsplit("/", 1)[-1]: r["problem"] for r in readers.checked_files(spark, str(tmp_path)).collect()}
+    assert got == {"ok.pdf": None, "locked.pdf": "encrypted", "broken.pdf": "corrupt", "empty.pdf": "corrupt", "none.pdf": "no pages"}
+    assert readers.checked_files(spark, str(tmp_path / "gone")).first()["problem"] == "missing"
+
+
+def test_tail_of_a_log_and_recent_projects(spark, tmp_path):
+    (tmp_path / "log.jsonl").write_text("\n".join(f'{{"at": {i}, "what": "w{i}"}}' for i in range(5)) + "\nnot json\n")
+    got = readers.log_tail(spark, str(tmp_path / "log.jsonl"), "at bigint, what string", "at", 2).collect()
+    assert [r["what"] for r in got] == ["w4", "w3"]
+    assert readers.log_tail(spark, str(tmp_path / "gone"), "at bigint, what string", "at").count() == 0
+    df = spark.createDataFrame([("a", None), ("b", "2024-01-01"), ("c", "2024-05-01")], "name string, last_opened string")
+    assert [r["name"] for r in readers.recent_first(df).collect()] == ["c", "b", "a"]
+
+
+def test_book_definition_round_trip(spark, tmp_path):
+    pytest.importorskip("yaml")
+    path = tmp_path / "book.yaml"
+    sinks.write_text(path, sinks.book_yaml({"book_id": "b", "title": 'A "title": x', "edition": "2", "n_pages": 9}, [{"key": "c1", "number": 1, "title": "One", "start": 1, "end": None}]))
+    book, chapters = readers.book_definition(spark, str(path))
+    assert book.first()["title"] == 'A "title": x' and tuple(chapters.first()) == ("b", "c1", 1, "One", 1, None)
+    assert "# T" in sinks.project_readme({"title": "T"}, 3, 1) and sinks.now_iso().endswith("Z")
+
+
+def test_archives_of_parts(tmp_path):
+    for name in ("md/book_id=b/chapter_key=c1/x.txt", "md/book_id=b/chapter_key=c2/x.txt", "chunks/part.json", "chunks/_SUCCESS"):
+        (tmp_path / "out" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "out" / name).write_text("x")
+    assert sinks.zip_chapter(str(tmp_path / "out"), str(tmp_path / "a.zip"), "b", "c1") == 1
+    assert sinks.zip_rag(str(tmp_path / "out"), str(tmp_path / "b.zip")) == 1
+
+
+def test_pending_references_are_replaced_by_chapter(spark):
+    schema = "book_id string, chapter_key string, block_id string, ref string"
+    old = spark.createDataFrame([("b", "c1", "1", "Table 1"), ("b", "c2", "2", "Table 9")], schema)
+    fresh = spark.createDataFrame([("b", "c1", "1", "Table 2"), ("b", "c1", "1", "Table 2")], schema)
+    got = sinks.merge_pending(old, fresh, fresh)
+    assert {tuple(r) for r in got.collect()} == {("b", "c1", "1", "Table 2"), ("b", "c2", "2", "Table 9")} and got.count() == 2

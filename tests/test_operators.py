@@ -147,3 +147,41 @@ def test_merged_tables(spark):
 def test_terms_need_two(spark):
     df = spark.createDataFrame([block(1, clean="amoxicillin and Amoxicillin, penicillin")], model.BLOCK)
     assert [r["term"] for r in navigate.terms_by_ending(df, navigate.DRUG_ENDINGS).collect()] == ["amoxicillin"]
+
+
+def test_index_on_disk(spark, tmp_path):
+    units = spark.createDataFrame([(1, "Café culture in Zürich", "x"), (2, "The café of the cultures", None), (3, None, None), (4, "in most cases, in most", "cases")], "unit bigint, text string, title string")
+    index = search.build(units, "unit", ["text", "title"], str(tmp_path / "ix"))
+    again = search.open_index(spark, str(tmp_path / "ix"))
+    assert again.n_units == 4 and again.avg_tokens == index.avg_tokens
+    assert {r["unit_id"] for r in search.find(again, "cafe cult").collect()} == {1, 2}
+    assert [r["unit_id"] for r in search.find(again, '"most cases"').collect()] == [4]  # no phrase runs from one column into the next
+    assert {(r["unit_id"], r["n"]) for r in search.matches(again, search.Term(("in", "most"))).collect()} == {(4, 2)}
+    assert search.find(again, "cafe", among=units.where("unit = 2").select(F.col("unit").alias("unit_id"))).count() == 1
+    plan = search.matches(again, search.Term(("cafe",)))._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(term,cafe)" in plan
+    fresh = search.build(spark.createDataFrame([(1, "tea", None)], "unit bigint, text string, title string"), "unit", ["text", "title"])
+    new = search.reindexed(again, fresh.lengths, fresh)
+    assert new.n_units == 4 and {r["unit_id"] for r in search.find(new, "cafe").collect()} == {2} and search.find(new, "tea").count() == 1
+    assert search.find(search.build(units.where("false"), "unit", ["text"]), "cafe").count() == 0
+
+
+def test_chunks_without_a_section(spark):
+    rows = [block(1, section=None, md="a"), block(2, section=None, md="b")]
+    got = rag.chunks(spark.createDataFrame(rows, model.BLOCK)).collect()
+    assert [(r["chunk_id"], r["block_ids"]) for r in got] == [("start#1", [1, 2])]
+
+
+def test_order_keeps_lines_without_a_place(spark):
+    rows = [(1, "b", "c", 1, 1, 50.0, 100.0, 200.0, 110.0, 10.0, False, False, "first", None, None, 0.9), (2, "b", "c", 1, 2, None, None, None, None, None, None, None, "lost", None, None, None)]
+    got = {r["line_id"]: r["order_no"] for r in layout.placed(spark.createDataFrame(rows, model.LINE)).collect()}
+    assert got == {1: 0, 2: 1}
+    assert layout.placed(spark.createDataFrame([], model.LINE)).count() == 0
+
+
+def test_conversion_of_nothing(spark):
+    from vellumspark import pipeline
+
+    chapters_ = spark.createDataFrame([], "book_id string, chapter_key string, chapter_no int, title string, page_from int, page_to int")
+    c = pipeline.convert(spark.createDataFrame([], model.LINE), chapters_)
+    assert c.blocks.count() == 0 and c.issues.count() == 0 and c.status.count() == 0

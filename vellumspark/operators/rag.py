@@ -51,14 +51,14 @@ def chunks(blocks: DataFrame, max_chars: int = CHUNK_CHARS) -> DataFrame:
     rows = blocks.where(F.col("md").isNotNull() & (F.trim("md") != "")).withColumn("ctype", chunk_type(F.col("block_type")))
     rows = rows.withColumn("len", F.length("md")).withColumn("chunk_text", text)
     runs = section_runs(rows.select(*keys, "seq", "block_id", "ctype", "len"), keys, max_chars)
-    placed = rows.join(runs, [*keys, "block_id"])
+    placed = rows.join(runs.drop("section_id"), ["book_id", "chapter_key", "block_id"])  # a section may be null, a block not
     part = F.array_sort(F.collect_list(F.struct("seq", "block_id", "chunk_text")))
     out = placed.groupBy(*keys, "chunk_no").agg(
         F.min("ctype").alias("content_type"), part.alias("p"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("pages")))).alias("source_pages"), F.min_by("heading_path", "seq").alias("heading_path")
     )
     out = out.withColumn("text", F.array_join(F.transform("p", lambda x: x["chunk_text"]), "\n\n"))
     return out.select(
-        *keys, "chunk_no", F.concat_ws("#", "section_id", F.col("chunk_no").cast("string")).alias("chunk_id"), "content_type", "text", "source_pages", "heading_path",
+        *keys, "chunk_no", F.concat_ws("#", F.coalesce("section_id", F.lit("start")), F.col("chunk_no").cast("string")).alias("chunk_id"), "content_type", "text", "source_pages", "heading_path",
         F.transform("p", lambda x: x["block_id"]).alias("block_ids"), citation_ends(strip_markdown(F.col("text"))).alias("references"),
     )
 

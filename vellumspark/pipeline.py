@@ -119,6 +119,21 @@ def inspect(books: DataFrame, lines: DataFrame) -> DataFrame:
     return df.withColumn("warning", F.when((F.col("n_openers") == 0) & (F.col("n_contents") == 0), "no outline"))
 
 
+def profile(lines: DataFrame, images: DataFrame | None = None) -> DataFrame:
+    """book_id, body, n_pages, patterns, repeated_images: what all chapters of a book share."""
+    from vellumspark.operators import figures
+
+    running = layout.book_patterns(lines).groupBy("book_id").agg(F.array_sort(F.collect_list("pattern")).alias("patterns"))
+    df = lines.groupBy("book_id").agg(F.count_distinct("page").alias("n_pages")).join(layout.body_size(lines, ["book_id"]), "book_id", "left").join(running, "book_id", "left")
+    if images is None:
+        df = df.withColumn("repeated_images", F.array().cast("array<string>"))
+    else:
+        often = figures.repeated_images(images, lines).groupBy("book_id").agg(F.array_sort(F.collect_list(F.col("image_id").cast("string"))).alias("repeated_images"))
+        df = df.join(often, "book_id", "left")
+    none = F.array().cast("array<string>")
+    return df.withColumn("patterns", F.coalesce("patterns", none)).withColumn("repeated_images", F.coalesce("repeated_images", none))
+
+
 def chapter_payload(c: Converted, book_id: str, chapter_key: str) -> DataFrame:
     """Blocks of one chapter with the Markdown of their line range and their issues."""
     here = (F.col("book_id") == book_id) & (F.col("chapter_key") == chapter_key)

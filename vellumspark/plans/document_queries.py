@@ -139,6 +139,14 @@ def d4_chunk_ids(spark, d):
     return rag.chunks(blocks(spark, d)).where("section_id is not null").select("book_id", "chapter_key", "chunk_id", "block_ids")
 
 
+@query(rf"""WITH RECURSIVE {BLOCKS}, {FOLD}, t AS (SELECT f.book_id, f.chapter_key, f.section_id, f.no, f.ctype, f.i, f.block_id, b.seq, b.pages, b.heading_path, trim(regexp_replace(md, '<!-- source_page: \d+ -->', '', 'g')) AS x FROM f JOIN b USING (block_id))
+SELECT book_id, chapter_key, coalesce(section_id, 'start') || '#' || no AS chunk_id, min(ctype) AS content_type, string_agg(x, chr(10) || chr(10) ORDER BY seq NULLS FIRST, block_id) AS text, list_sort(list_distinct(flatten(list(pages)))) AS source_pages,
+  list(block_id ORDER BY i) AS block_ids FROM t GROUP BY book_id, chapter_key, section_id, no""")
+def d5_chunk_texts(spark, d):
+    """Chunks but for path and cited numbers; those of blocks without a section are among them."""
+    return rag.chunks(blocks(spark, d)).select("book_id", "chapter_key", "chunk_id", "content_type", "text", "source_pages", "block_ids")
+
+
 @query()
 def d5_chunks(spark, d):
     return rag.chunks(blocks(spark, d))
@@ -244,23 +252,47 @@ def _issues(spark, d):
     return qa.all_issues(parts), c
 
 
+@query(rf"""WITH {BLOCKS}, r AS (SELECT book_id, chapter_key, block_id, unnest(list_filter([CASE WHEN regexp_matches(clean, '[ﬀ-ﬆ]') THEN 'LIGATURE_LEFT' END, CASE WHEN regexp_matches(clean, '[\x{{E000}}-\x{{F8FF}}]|\(cid:\d+\)|\x{{FFFD}}') THEN 'ENCODING_IN_MD' END,
+ CASE WHEN regexp_matches(clean, '(^|[^A-Za-z])(?:[A-Za-z] ){{5,}}[A-Za-z]([^A-Za-z]|$)') THEN 'SPACED_LETTERS' END, CASE WHEN regexp_matches(clean, '[A-Za-z]{{2,}}- [a-z]{{2,}}') THEN 'HYPHEN_SPACE' END], lambda x: x IS NOT NULL)) AS code FROM b WHERE clean IS NOT NULL) SELECT * FROM r""")
+def e10_mark_issues(spark, d):
+    return qa.mark_issues(blocks(spark, d)).select("book_id", "chapter_key", "block_id", "code")
+
+
+def _all_codes() -> str:
+    """SQL of all issues as book_id, chapter_key, code, out of the SQL of each rule."""
+    from vellumspark.plans import layout_queries
+
+    one = lambda sql, code="code": f"SELECT book_id, chapter_key, {code} AS code FROM ({sql})"
+    loss = f"SELECT * FROM ({layout_queries.ORACLE['b3_char_loss']}) WHERE loss_ratio > 0.003"
+    blank = f"WITH {LINES} SELECT book_id, chapter_key, page FROM l GROUP BY ALL HAVING sum(length(trim(coalesce(raw, '')))) = 0"
+    return " UNION ALL ".join([
+        one(ORACLE["e4_heading_issues"]), one(ORACLE["e5_citation_issues"]), one(ORACLE["e6_figure_mentions"], "'FIGURE_MENTION_MISSING'"), one(ORACLE["e10_mark_issues"]), one(layout_queries.ORACLE["b4_short_pages"], "'PAGE_TEXT_SHORT'"),
+        one(blank, "'PAGE_BLANK'"), one(ORACLE["e8_pages_skipped"], "'PAGE_SKIPPED'"), one(ORACLE["e9_pages_not_in_output"], "'PAGE_NOT_IN_MARKDOWN'"), one(loss, "CASE WHEN loss_ratio > 0.01 THEN 'TEXT_LOSS' ELSE 'TEXT_LOSS_MINOR' END"),
+    ])
+
+
+STATE = "st AS (SELECT book_id, chapter_key, s.status AS status FROM (SELECT book_id, chapter_key, max({'a': loaded_at, 'status': status, 'page': page}) AS s FROM chapter_state GROUP BY 1, 2))"
+
+
 @query()
 def e3_issues(spark, d):
     return qa.in_order(_issues(spark, d)[0])
 
 
-@query()
+@query(f"SELECT book_id, chapter_key, code, count(*) AS n FROM ({_all_codes()}) GROUP BY 1, 2, 3")
+def e3_issue_counts(spark, d):
+    return _issues(spark, d)[0].groupBy("book_id", "chapter_key", "code").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {CHAPTERS}, {STATE}, i AS (SELECT book_id, chapter_key, CASE WHEN code IN ('PAGE_SKIPPED', 'PAGE_NOT_IN_MARKDOWN') THEN 'c' WHEN code = 'TEXT_LOSS' THEN 'h' WHEN code IN ('EMPTY_SECTION', 'REFERENCE_GAPS', 'SPACED_LETTERS', 'HYPHEN_SPACE', 'PAGE_BLANK') THEN 'l' ELSE 'm' END AS s FROM ({_all_codes()})),
+n AS (SELECT k.book_id, k.chapter_key, count(*) FILTER (s = 'c') AS n_critical, count(*) FILTER (s = 'h') AS n_high, count(*) FILTER (s = 'm') AS n_medium, count(*) FILTER (s = 'l') AS n_low
+  FROM (SELECT DISTINCT book_id, chapter_key FROM c) k LEFT JOIN i ON i.book_id = k.book_id AND i.chapter_key = k.chapter_key GROUP BY 1, 2)
+SELECT n.*, CASE WHEN st.status = 'FAILED' THEN 'FAILED' WHEN n_critical + n_high > 0 THEN 'REVIEW_REQUIRED' WHEN n_medium + n_low > 0 THEN 'COMPLETED_WITH_WARNINGS' ELSE 'COMPLETED' END AS status FROM n LEFT JOIN st ON st.book_id = n.book_id AND st.chapter_key = n.chapter_key""")
 def e3_chapter_status(spark, d):
     found, c = _issues(spark, d)
     return qa.status_of(found, c, C.latest_state(table(spark, d, "chapter_state")).where("status = 'FAILED'"))
 
 
-@query(rf"""WITH {BLOCKS}, r AS (SELECT book_id, chapter_key, block_id, unnest(list_filter([CASE WHEN regexp_matches(clean, '[ﬀ-ﬆ]') THEN 'LIGATURE_LEFT' END, CASE WHEN regexp_matches(clean, '[\x{{E000}}-\x{{F8FF}}]|\(cid:\d+\)|\x{{FFFD}}') THEN 'ENCODING_IN_MD' END,
- CASE WHEN regexp_matches(clean, '(^|[^A-Za-z])(?:[A-Za-z] ){{5,}}[A-Za-z]([^A-Za-z]|$)') THEN 'SPACED_LETTERS' END, CASE WHEN regexp_matches(clean, '[A-Za-z]{{2,}}- [a-z]{{2,}}') THEN 'HYPHEN_SPACE' END], lambda x: x IS NOT NULL)) AS code FROM b WHERE clean IS NOT NULL) SELECT * FROM r""")
-def e10_mark_issues(spark, d):
-    return qa.mark_issues(blocks(spark, d)).select("book_id", "chapter_key", "block_id", "code")
-
-
 # ---- F: sections and rendering ---------------------------------------------------------------------------------
 
 
@@ -272,6 +304,22 @@ def f1_heading_paths(spark, d):
     return A.heading_paths(blocks(spark, d)).where("block_type = 'heading'").select("block_id", "path")
 
 
+_Z = "regexp_replace(substr(regexp_replace(regexp_replace(lower(strip_accents({t})), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60), '-+$', '')"
+SLUG = f"CASE WHEN {_Z} = '' THEN 'untitled' ELSE {_Z} END"
+
+
+@query(rf"""WITH RECURSIVE {BLOCKS}, h AS (SELECT book_id, chapter_key, seq, block_id, least(greatest(coalesce(h_level, 2), 1), 6) AS lv, clean AS title, row_number() OVER (PARTITION BY book_id, chapter_key ORDER BY seq NULLS FIRST, block_id) AS i FROM b WHERE block_type = 'heading'),
+st AS (SELECT book_id, chapter_key, i, seq, block_id, title, [{{'l': lv, 't': title}}] AS s FROM h WHERE i = 1 UNION ALL
+  SELECT h.book_id, h.chapter_key, h.i, h.seq, h.block_id, h.title, list_append(list_filter(st.s, lambda x: x.l < h.lv), {{'l': h.lv, 't': h.title}}) FROM st JOIN h ON h.book_id = st.book_id AND h.chapter_key = st.chapter_key AND h.i = st.i + 1),
+q AS (SELECT book_id, chapter_key, seq, block_id, i, s[-1].l AS level, title, CASE WHEN len(s) > 1 THEN s[-2].t END AS parent FROM st),
+r AS (SELECT *, {SLUG.format(t="coalesce(title, '')")} AS slug, CASE WHEN parent IS NOT NULL THEN {SLUG.format(t='parent')} END AS ps FROM q),
+n AS (SELECT *, row_number() OVER (PARTITION BY book_id, chapter_key, slug ORDER BY seq NULLS FIRST, block_id) AS n FROM r), bs AS (SELECT *, CASE WHEN n = 1 OR ps IS NULL THEN slug ELSE ps || '-' || slug END AS base FROM n),
+m AS (SELECT *, row_number() OVER (PARTITION BY book_id, chapter_key, base ORDER BY seq NULLS FIRST, block_id) AS m FROM bs)
+SELECT block_id, i AS section_no, level, parent, CASE WHEN m = 1 THEN base ELSE base || '-' || m END AS section_id FROM m""")
+def f2_section_ids(spark, d):
+    return A.sections(blocks(spark, d)).select("block_id", F.col("section_no").cast("bigint").alias("section_no"), "level", "parent", "section_id")
+
+
 @query()
 def f2_sections(spark, d):
     return A.sections(blocks(spark, d))
@@ -283,16 +331,19 @@ def f3_anchors(spark, d):
     return A.heading_anchors(blocks(spark, d).where("block_type = 'heading' and clean is not null"), "clean").select("block_id", "anchor")
 
 
-@query(rf"""WITH {BLOCKS}, x AS (SELECT *, lag(pages[-1]) OVER w AS pv FROM b WHERE md IS NOT NULL WINDOW w AS (PARTITION BY book_id, chapter_key ORDER BY seq NULLS FIRST, block_id)),
+MARKED = r"""x AS (SELECT *, lag(pages[-1]) OVER w AS pv FROM b WHERE md IS NOT NULL WINDOW w AS (PARTITION BY book_id, chapter_key ORDER BY seq NULLS FIRST, block_id)),
 m AS (SELECT *, CASE WHEN pages[1] IS NOT NULL AND (pv IS NULL OR pages[1] <> pv) THEN pages[1] END AS page_marker, length(md) - length(replace(md, chr(10), '')) + 1 AS n FROM x),
-k AS (SELECT *, coalesce(sum(n + CASE WHEN page_marker IS NULL THEN 0 ELSE 2 END + 1) OVER (PARTITION BY book_id, chapter_key ORDER BY seq NULLS FIRST, block_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bf FROM m)
+k AS (SELECT *, coalesce(sum(n + CASE WHEN page_marker IS NULL THEN 0 ELSE 2 END + 1) OVER (PARTITION BY book_id, chapter_key ORDER BY seq NULLS FIRST, block_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bf FROM m)"""
+
+
+@query(rf"""WITH {BLOCKS}, {MARKED}
 SELECT block_id, page_marker, CAST(bf + CASE WHEN page_marker IS NULL THEN 0 ELSE 2 END + 1 AS BIGINT) AS line_start, CAST(bf + CASE WHEN page_marker IS NULL THEN 0 ELSE 2 END + n AS BIGINT) AS line_end,
  substr(sha1(regexp_replace(lower(coalesce(clean, md)), '[^0-9a-z]+', '', 'g')), 1, 12) AS fingerprint FROM k""")
 def f4_source_map(spark, d):
     return A.source_map(blocks(spark, d)).select("block_id", "page_marker", "line_start", "line_end", "fingerprint")
 
 
-@query()
+@query(f"""WITH {BLOCKS}, {MARKED} SELECT book_id, chapter_key, string_agg(coalesce('<!-- source_page: ' || page_marker || ' -->' || chr(10) || chr(10), '') || md, chr(10) || chr(10) ORDER BY seq NULLS FIRST, block_id) AS markdown, count(*) AS n_blocks FROM k GROUP BY 1, 2""")
 def f4_markdown(spark, d):
     return A.markdown(blocks(spark, d))
 
@@ -385,7 +436,6 @@ def g4_rewrite(spark, d):
 
 # ---- I: incremental, navigation, states ------------------------------------------------------------------------
 
-STATE = "st AS (SELECT book_id, chapter_key, s.status AS status FROM (SELECT book_id, chapter_key, max({'a': loaded_at, 'status': status, 'page': page}) AS s FROM chapter_state GROUP BY 1, 2))"
 
 
 @query(f"WITH {BLOCKS} SELECT book_id, count(*) AS n_blocks, count(*) FILTER (book_id = 'b000002') AS n_fresh FROM (SELECT * FROM b WHERE book_id <> 'b000002' UNION ALL SELECT * FROM b WHERE book_id = 'b000002' AND block_type = 'paragraph') GROUP BY 1")

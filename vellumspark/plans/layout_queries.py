@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import unicodedata
-
 from pyspark.sql import functions as F
 
 from vellumspark import pipeline
@@ -13,7 +11,7 @@ from vellumspark.operators import chapters as C
 from vellumspark.operators import hyphen
 from vellumspark.operators import layout as L
 from vellumspark.operators import qa
-from vellumspark.plans.common import BLOCKS, CHAPTERS, LINES, PARAS, blocks, chapters, lines, paras
+from vellumspark.plans.common import BLOCKS, CHAPTERS, COMPAT, LINES, PARAS, blocks, chapters, lines, paras
 from vellumspark.session import table
 
 QUERIES: dict = {}
@@ -68,11 +66,7 @@ def b2_line_gap(spark, d):
     return L.line_gap(lines(spark, d), ["book_id", "chapter_key"])
 
 
-# What NFKC makes of a character, beyond NFC, by rule; for the SQL side, which has NFC only.
-_COMPAT = [(chr(k), x) for k in range(0xA0, 0x3000) if (x := unicodedata.normalize("NFKC", chr(k))) != unicodedata.normalize("NFC", chr(k))]
-_COMPAT += [(chr(k), unicodedata.normalize("NFKC", chr(k))) for k in [*range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F)]]
-_quoted = lambda x: "'" + x.replace("'", "''") + "'"
-CHARS = "kc AS (SELECT * FROM (VALUES " + ", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in _COMPAT) + ") t(ch, to_ch)), " + ", ".join(
+CHARS = COMPAT + ", " + ", ".join(
     rf"""{name} AS (SELECT book_id, chapter_key, ch, count(*) AS {n} FROM (SELECT book_id, chapter_key, unnest(string_split(regexp_replace(lower(coalesce(to_ch, c.ch)), '[^\p{{L}}\p{{N}}]', '', 'g'), '')) AS ch
   FROM (SELECT book_id, chapter_key, unnest(string_split(nfc_normalize({column}), '')) AS ch FROM b WHERE {column} IS NOT NULL) c LEFT JOIN kc ON kc.ch = c.ch) WHERE ch <> '' GROUP BY ALL)"""
     for name, n, column in (("ra", "n", "raw"), ("cl", "m", "clean"))
@@ -309,7 +303,10 @@ def h9_list_items(spark, d):
     return B.list_blocks(blocks(spark, d)).select("block_id", "n_items")
 
 
-@query()
+@query(rf"""WITH {BLOCKS}, x AS (SELECT block_id, list_filter(string_split(raw, chr(10)), lambda x: trim(x) <> '') AS ls FROM b WHERE block_type = 'list' AND raw IS NOT NULL)
+SELECT block_id, len(list_filter(ls, lambda x: regexp_matches(x, '{text.BULLET}') OR regexp_matches(x, '{text.DASH}') OR regexp_matches(x, '{text.NUMBERED}') OR regexp_matches(x, '{text.ALPHA}'))) AS n_items,
+  array_to_string(list_transform(ls, lambda x: CASE WHEN regexp_matches(x, '{text.NUMBERED}') THEN regexp_extract(x, '(\d+)', 1) || '. ' || regexp_extract(x, '{text.NUMBERED}', 2) WHEN regexp_matches(x, '{text.ALPHA}') THEN '- ' || trim(x)
+    WHEN regexp_matches(x, '{text.BULLET}') OR regexp_matches(x, '{text.DASH}') THEN '- ' || regexp_replace(trim(x), '^\S\s*', '') ELSE '  ' || trim(x) END), chr(10)) AS list_md FROM x""")
 def h9_list_markdown(spark, d):
     return B.list_blocks(blocks(spark, d))
 
@@ -348,6 +345,7 @@ def h6_layout_openers(spark, d):
     return C.layout_openers(lines(spark, d))
 
 
-@query()
+@query(rf"""WITH {LINES}, m AS (SELECT book_id, page, seq, regexp_extract(raw, '{C.CONTENTS_LINE}', 1) AS a, regexp_extract(raw, '{C.CONTENTS_LINE}', 2) AS t, regexp_extract(raw, '{C.CONTENTS_LINE}', 3) AS p, count(*) OVER (PARTITION BY book_id, page) AS n FROM l WHERE page <= 40 AND regexp_matches(raw, '{C.CONTENTS_LINE}'))
+SELECT book_id, page, seq, TRY_CAST(a AS INT) AS number, trim(t) AS title, TRY_CAST(p AS INT) AS printed_page FROM m WHERE n >= 3""")
 def h6_contents_entries(spark, d):
     return C.contents_entries(lines(spark, d))

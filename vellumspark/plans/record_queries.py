@@ -9,6 +9,7 @@ from vellumspark.operators import figures as G
 from vellumspark.operators import layout as L
 from vellumspark.operators import spans as S
 from vellumspark.operators import stream
+from vellumspark.operators import tables as T
 from vellumspark.plans import fixture_book
 from vellumspark.plans.common import BLOCKS, CHAPTERS, LINES, blocks, chapters, lines
 from vellumspark.session import table
@@ -180,6 +181,55 @@ def _values(rows: list[tuple], names: str) -> str:
     return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) t({names})"
 
 
+# Lines of a table of four columns below its caption, a sentence further down, and a box of two cells below another caption.
+_CELLS = [(1, 100.0, 50.0, 200.0, "Table 2.1 Doses")] + [(10 + 10 * r + c, 115.0 + 14 * r, 50.0 + 80 * c, 90.0 + 80 * c, t) for r, row in enumerate([("Drug", "Dose", "Unit", "Route"), ("A", "12", "mg", "oral"), ("B", "7", "mg", "")]) for c, t in enumerate(row) if t]
+_CELLS += [(60, 200.0, 50.0, 300.0, "A sentence of the text below the table."), (70, 300.0, 50.0, 200.0, "Table 2.2 Box"), (71, 315.0, 50.0, 100.0, "one"), (72, 329.0, 50.0, 100.0, "two")]
+
+
+def _cells(spark):
+    return spark.createDataFrame([("b", 1, i, x0, y0, x1, y0 + 10, 10.0, t) for i, y0, x0, x1, t in _CELLS], f"book_id string, page int, line_id bigint, {RECT}, size double, raw string")
+
+
+@query("SELECT 1::BIGINT AS table_id, 3 AS n_rows, 4 AS n_cols, 11::BIGINT AS n_cells, 0.62::DOUBLE AS conf")
+def j16_found_tables(spark, d):
+    return T.found_tables(_cells(spark)).select("table_id", "n_rows", "n_cols", "n_cells", F.col("conf").cast("double").alias("conf"))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, {(i - 10) // 10}, {(i - 10) % 10})" for i, *_ in _CELLS if 10 <= i < 60) + ", (71, 0, 0), (72, 1, 0)) t(line_id, r, c)")
+def j17_table_grid(spark, d):
+    return T.grids(T.table_regions(_cells(spark))).select("line_id", "r", "c")
+
+
+@query("SELECT 1 AS fig_id, ['Drug', 'A', 'B'] AS labels")
+def j18_figure_labels(spark, d):
+    return T.figure_labels(spark.createDataFrame([(1, "b", 1, 40.0, 110.0, 100.0, 160.0)], f"fig_id int, book_id string, page int, {RECT}"), _cells(spark))
+
+
+@query("""SELECT line_id FROM lines WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT book_id, page, x0, y0, x1, y1 FROM lines WHERE zone = 'bottom') r
+  WHERE r.book_id = lines.book_id AND r.page = lines.page AND lines.x0 <= r.x1 AND lines.x1 >= r.x0 AND lines.y0 <= r.y1 AND lines.y1 >= r.y0) GROUP BY 1""")
+def j19_outside_removed(spark, d):
+    ls = lines(spark, d)
+    return T.outside_removed(ls, ls.where("zone = 'bottom'")).select("line_id")
+
+
+@query(f"""WITH {LINES}, s AS (SELECT book_id, page, string_agg(coalesce(raw, ''), chr(10) ORDER BY seq NULLS FIRST, line_id) AS t FROM l GROUP BY 1, 2) SELECT book_id, page, sha256(t) AS sha256 FROM s""")
+def k10_page_hashes(spark, d):
+    return sinks.page_hashes(lines(spark, d))
+
+
+@query(f"""WITH {BLOCKS} SELECT book_id, chapter_key, section_id, string_agg(clean, chr(10) || chr(10) ORDER BY seq NULLS FIRST, block_id) AS text FROM b WHERE trim(clean) <> '' GROUP BY 1, 2, 3""")
+def k11_section_texts(spark, d):
+    return sinks.section_texts(blocks(spark, d))
+
+
+@query(rf"""WITH {BLOCKS}, g AS (SELECT book_id, chapter_key, seq, regexp_extract(CASE WHEN trim(raw) <> '' THEN raw ELSE clean END, '(?i)^\s*(figure|fig\.?|table|box|algorithm|plate)\s+([0-9IVXA-Z][0-9.A-Za-z-]*)', ['k', 'n']) AS g FROM b WHERE block_type IN ('caption', 'figure', 'table')),
+k AS (SELECT book_id, chapter_key, seq, regexp_replace(lower(g.k), '\.$', '') AS kind, g.n AS n FROM g WHERE g.k <> ''),
+l AS (SELECT book_id, chapter_key, seq, kind, CASE kind WHEN 'fig' THEN 'Figure' ELSE upper(kind[1]) || kind[2:] END || ' ' || regexp_replace(n, '[.]+$', '') AS label, CASE kind WHEN 'table' THEN 'table-' ELSE 'figure-' END || regexp_replace(regexp_replace(lower(n), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS anchor FROM k)
+SELECT book_id, chapter_key, label, arg_min(anchor, seq) AS anchor, arg_min(kind, seq) AS kind FROM l GROUP BY 1, 2, 3""")
+def k12_labels(spark, d):
+    return sinks.labels_of(blocks(spark, d))
+
+
 BOOK = [
     ("c1", 1, "heading", "# Cell Walls"),
     ("c1", 2, "paragraph", "The wall of a plant cell is made of cellulose, takes 5 mg and gives a firm shape[^fn1-x] in well-known cases of growth."),

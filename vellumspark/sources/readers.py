@@ -106,3 +106,33 @@ def page_numbers(lines: DataFrame) -> DataFrame:
 
     df = lines.where("raw is not null").select("book_id", "page", "seq", F.posexplode(tokens_in_context(F.col("raw"))).alias("n", "m"))
     return df.select("book_id", "page", "seq", "n", F.col("m.token").alias("token"), F.col("m.ctx").alias("context"))
+
+
+PAGE_OBJECT = "/Type /Page"
+
+
+def checked_files(spark: SparkSession, path: str) -> DataFrame:
+    """path, length, problem of page-description files: ``missing`` where there is none, ``corrupt`` without the head of such a
+    file, ``encrypted``, ``no pages``; null where there is none. Contents are looked at in the scan and go no further."""
+    from pyspark.errors import AnalysisException
+
+    schema = "path string, length bigint, problem string"
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    except AnalysisException:
+        return spark.createDataFrame([(path, None, "missing")], schema)
+    has = lambda part: F.locate(part, F.decode("content", "ISO-8859-1")) > 0
+    problem = (
+        F.when(F.decode(F.substring("content", 1, 5), "ISO-8859-1") != "%PDF-", "corrupt").when(has("/Encrypt"), "encrypted").when(~has(PAGE_OBJECT) & ~has(PAGE_OBJECT.replace(" ", "")), "no pages")
+    )
+    return files.select("path", "length", F.when(F.col("length") == 0, "corrupt").otherwise(problem).alias("problem"))
+
+
+def log_tail(spark: SparkSession, path: str, schema: str, time_col: str, most: int = 200) -> DataFrame:
+    """The latest ``most`` rows of a JSON-lines log, newest first: the tail is what is asked for."""
+    return json_or_default(spark, path, schema).orderBy(F.desc(time_col)).limit(most)
+
+
+def recent_first(projects: DataFrame, opened: str = "last_opened") -> DataFrame:
+    """Projects by the time they were opened last; those never opened come last."""
+    return projects.orderBy(F.desc_nulls_last(opened), *[c for c in projects.columns if c != opened])

@@ -84,6 +84,88 @@ def obsidian(markdown: DataFrame, column: str = "markdown") -> DataFrame:
     return markdown.withColumn(column, c)
 
 
+def labels_of(blocks: DataFrame) -> DataFrame:
+    """book_id, chapter_key, label, anchor, kind of the captions, figures and tables of blocks: the registry that references
+    are resolved with. Of equal labels of a chapter the first counts."""
+    from vellumspark.functions import text
+
+    found = blocks.where("block_type in ('caption', 'figure', 'table')").withColumn("_c", F.when(F.trim("raw") != "", F.col("raw")).otherwise(F.col("clean")))
+    kind, number = F.regexp_extract("_c", text.LABEL, 1), F.regexp_extract("_c", text.LABEL, 2)
+    rows = found.where(kind != "").select("book_id", "chapter_key", "seq", text.normal_label(kind, number).alias("label"), text.label_anchor(kind, number).alias("anchor"), F.lower(F.regexp_replace(kind, r"\.$", "")).alias("kind"))
+    return rows.groupBy("book_id", "chapter_key", "label").agg(F.min_by("anchor", "seq").alias("anchor"), F.min_by("kind", "seq").alias("kind"))
+
+
+def merge_pending(old: DataFrame, fresh: DataFrame, chapters: DataFrame) -> DataFrame:
+    """Unresolved references with those of ``chapters`` replaced by ``fresh``, each block and text once."""
+    keys = ["book_id", "chapter_key"]
+    return old.join(chapters.select(*keys).distinct(), keys, "left_anti").unionByName(fresh).dropDuplicates([*keys, "block_id", "ref"])
+
+
+def page_hashes(lines: DataFrame) -> DataFrame:
+    """book_id, page, sha256 of the text of each page, its lines in order: tells whether a page changed."""
+    rows = F.array_sort(F.collect_list(F.struct("seq", "line_id", F.coalesce("raw", F.lit("")).alias("raw"))))
+    return lines.groupBy("book_id", "page").agg(F.sha2(F.array_join(F.transform(rows, lambda x: x["raw"]), "\n"), 256).alias("sha256"))
+
+
+def section_texts(blocks: DataFrame) -> DataFrame:
+    """book_id, chapter_key, section_id, text: blocks of each section in order. A section is bounded by its chapter."""
+    rows = F.array_sort(F.collect_list(F.struct("seq", "block_id", F.col("clean").alias("t"))))
+    return blocks.where("trim(clean) <> ''").groupBy("book_id", "chapter_key", "section_id").agg(F.array_join(F.transform(rows, lambda x: x["t"]), "\n\n").alias("text"))
+
+
+def write_tables(tables: DataFrame, path: str) -> None:
+    """Markdown of tables that went to files of their own (book_id, chapter_key, file, full_md), below their chapter."""
+    rows = tables.where("file is not null").select("book_id", "chapter_key", "file", F.col("full_md").alias("value"))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("book_id", "chapter_key", "file").text(path)
+
+
+def book_yaml(book: dict, chapters: list[dict]) -> str:
+    """Definition of a book and its chapters in YAML, as ``readers.book_definition`` reads it."""
+    quoted = lambda v: "null" if v is None else str(v) if isinstance(v, (int, float)) else json.dumps(str(v), ensure_ascii=False)
+    out = ["book:", *[f"  {k}: {quoted(book.get(k))}" for k in ("book_id", "title", "edition", "n_pages")], "chapters:" if chapters else "chapters: []"]
+    for c in chapters:
+        out += [("  - " if k == 0 else "    ") + f"{name}: {quoted(c.get(name))}" for k, name in enumerate(("key", "number", "title", "start", "end"))]
+    return "\n".join(out) + "\n"
+
+
+def project_readme(book: dict, n_chapters: int, n_done: int, created: str | None = None) -> str:
+    """What a folder of outputs holds, in Markdown."""
+    rows = ["chapters | Markdown of each chapter", "tables | large tables", "chunks | JSON lines for retrieval", "index | postings and lengths of the search index", "reports | issues of each chapter"]
+    return "\n".join([
+        f"# {book.get('title') or book.get('book_id')}", "", f"{n_done} of {n_chapters} chapters are converted. Written {created or now_iso()}.", "", "| Folder | Contents |", "| --- | --- |", *[f"| {r} |" for r in rows], "",
+        "Every block names its page; `source_map` leads from lines of Markdown to pages.", "",
+    ])
+
+
+def now_iso() -> str:
+    """The time in UTC, to the second."""
+    from datetime import datetime, timezone
+
+    return datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+
+
+def zip_chapter(folder: str, target: str, book_id: str, chapter_key: str) -> int:
+    """Archive of what lies below one chapter's folders; the number of files."""
+    part = (f"book_id={book_id}", f"chapter_key={chapter_key}")
+    return _zip(folder, target, lambda parts: any(parts[i : i + 2] == part for i in range(len(parts))))
+
+
+def zip_rag(folder: str, target: str) -> int:
+    """Archive of the retrieval chunks alone."""
+    return _zip(folder, target, lambda parts: parts[0] == "chunks")
+
+
+def _zip(folder: str, target: str, wanted) -> int:
+    root, n = Path(folder), 0
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*")):
+            parts = f.relative_to(root).parts
+            if f.is_file() and not any(p.startswith((".", "_")) for p in parts) and wanted(parts):
+                z.write(f, str(Path(*parts)))
+                n += 1
+    return n
+
+
 def zip_folder(folder: str, target: str, skipped: tuple[str, ...] = ("__pycache__",)) -> int:
     """Archive of a folder without hidden, temporary and state files; the number of files."""
     root, n = Path(folder), 0
