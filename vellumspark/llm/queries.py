@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellumspark.plans.common import COMPAT
 from vellumspark.session import table
 
 
@@ -111,8 +112,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in named}
 
 
+# The text in NFKC, character by character, as SQL has NFC only.
+P1 = rf"""{COMPAT}, bl AS (SELECT DISTINCT block_id, clean FROM blocks WHERE block_id IS NOT NULL AND clean IS NOT NULL),
+ch AS (SELECT block_id, unnest(cs) AS ch, generate_subscripts(cs, 1) AS i FROM (SELECT block_id, string_split(nfc_normalize(regexp_replace(clean, '[\x{{AD}}\x{{200B}}-\x{{200D}}\x{{2060}}\x{{FEFF}}]', '', 'g')), '') AS cs FROM bl)),
+tx AS (SELECT block_id, string_agg(coalesce(to_ch, ch.ch), '' ORDER BY i) AS t FROM ch LEFT JOIN kc ON kc.ch = ch.ch GROUP BY 1),
+tm AS (SELECT block_id, unnest(regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}]+')) AS term FROM tx), n AS (SELECT count(DISTINCT block_id) AS total FROM blocks),
+fq AS (SELECT term, count(*) AS n_occurrences, count(DISTINCT block_id) AS n_records FROM tm GROUP BY 1),
+mk AS (SELECT term, n_occurrences, n_records, CASE WHEN n_records <= 2 THEN 'rare' WHEN n_records >= 0.1 * total THEN 'common' END AS mark FROM fq, n)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_terms": f"WITH {P1} SELECT term, CAST(n_occurrences AS BIGINT) AS n_occurrences, CAST(n_records AS BIGINT) AS n_records, mark FROM mk",
+        "p1_found": f"WITH {P1} SELECT term, mark FROM mk WHERE mark IS NOT NULL",
         "p4_found": r"""
             SELECT DISTINCT block_id FROM blocks
             WHERE block_id IS NOT NULL AND length(regexp_replace(regexp_replace(clean, '^[\s\x1c-\x1f\x85\p{Z}]+', ''), '[\s\x1c-\x1f\x85\p{Z}]+$', ''))
