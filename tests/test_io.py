@@ -100,7 +100,7 @@ def test_guards_of_files(spark, tmp_path):
     (tmp_path / "empty.pdf").write_bytes(b"")
     (tmp_path / "none.pdf").write_bytes(b"%PDF-1.4 /Catalog")
     got = {r["path"].rsplit("/", 1)[-1]: r["problem"] for r in readers.checked_files(spark, str(tmp_path)).collect()}
-    assert got == {"ok.pdf": None, "locked.pdf": "encrypted", "broken.pdf": "corrupt", "empty.pdf": "corrupt", "none.pdf": "no pages"}
+    assert got == {"ok.pdf": None, "locked.pdf": "encrypted", "broken.pdf": "corrupt", "none.pdf": "no pages"}
     assert readers.checked_files(spark, str(tmp_path / "gone")).first()["problem"] == "missing"
 
 

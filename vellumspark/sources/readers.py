@@ -113,7 +113,8 @@ PAGE_OBJECT = "/Type /Page"
 
 def checked_files(spark: SparkSession, path: str) -> DataFrame:
     """path, length, problem of page-description files: ``missing`` where there is none, ``corrupt`` without the head of such a
-    file, ``encrypted``, ``no pages``; null where there is none. Contents are looked at in the scan and go no further."""
+    file, ``encrypted``, ``no pages``; null where there is none. Contents are looked at in the scan and go no further. The reader
+    passes over files of no length."""
     from pyspark.errors import AnalysisException
 
     schema = "path string, length bigint, problem string"
@@ -125,7 +126,7 @@ def checked_files(spark: SparkSession, path: str) -> DataFrame:
     problem = (
         F.when(F.decode(F.substring("content", 1, 5), "ISO-8859-1") != "%PDF-", "corrupt").when(has("/Encrypt"), "encrypted").when(~has(PAGE_OBJECT) & ~has(PAGE_OBJECT.replace(" ", "")), "no pages")
     )
-    return files.select("path", "length", F.when(F.col("length") == 0, "corrupt").otherwise(problem).alias("problem"))
+    return files.select("path", "length", problem.alias("problem"))
 
 
 def log_tail(spark: SparkSession, path: str, schema: str, time_col: str, most: int = 200) -> DataFrame:
