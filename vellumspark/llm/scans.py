@@ -30,6 +30,7 @@ from vellumspark.session import join_measured, size_bytes, written
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 LEAST_COUNT = 15  # of a word of the vocabulary; what is rarer tells nothing and counts as unseen
+UNSEEN_SHARE = 5.8e-6  # of all words; a form that is rarer counts as unseen when it is judged, at every size of the collection
 SAMPLE_WORDS = 50_000  # most frequent words, which the models are trained on
 SAMPLE_PAGES = 400  # pages, picked by hash, which the classifier of furniture is trained on
 TRAINING_WORDS = 1500
@@ -235,8 +236,9 @@ class Corrector:
     """The trained models: ``rank`` orders candidates for a misread word, ``join`` decides on the line pair around a cut
     word, ``digits`` on a number with letters in it."""
 
-    def __init__(self, words: Words) -> None:
-        self.words = words
+    def __init__(self, words: Words, unseen: float = LEAST_COUNT) -> None:
+        self.words, self.unseen = words, unseen
+        self.scale = LEAST_COUNT / unseen  # counts are put to the size at which a form of LEAST_COUNT is the first that is seen
         self.rank = Boosted()
         self.join = Boosted(rounds=40)
         self.digits = Boosted(rounds=40)
@@ -252,6 +254,7 @@ class Corrector:
         return sorted(x for x in near if x[0] <= 2.0)[:6]
 
     def row(self, word: str, n: int, cost: float, share: float, c: str, m: int) -> list[float]:
+        m, n = max(1.0, m * self.scale), n * self.scale
         return [cost, cost / len(c), share, math.log(m), math.log(m / (n + 1)), len(c), float(any(not ch.isalpha() for ch in word)), float(word[0] == c[0]), self.words.score(word), abs(len(word) - len(c)), float(word[:-1] == c or c[:-1] == word)]
 
     def chance(self, word: str, n: int, c: str, m: int) -> float:
@@ -294,17 +297,17 @@ class Corrector:
         x, y = [], []
         for w in rng.sample(real, min(len(real), TRAINING_WORDS)):
             for seen in sorted({misread(w, rng), misread(w, rng)} - set(words.real)):
-                times = rng.choice((0, 0, 1, 3))
+                times = rng.choice((0, 0, 1, 3)) / self.scale
                 for cand in self.teachers(index, seen):
                     x.append(self.row(seen, times, *cand, words.real[cand[2]]))
                     y.append(cand[2] == w)
-            times = rng.choice((0, 1, 3, 9))  # the word itself, were it rare: no candidate is right
+            times = rng.choice((0, 1, 3, 9)) / self.scale  # the word itself, were it rare: no candidate is right
             for cand in self.teachers(index, w)[:3]:
                 x.append(self.row(w, times, *cand, words.real[cand[2]]))
                 y.append(False)
         for w in rng.sample(coined, min(len(coined), TRAINING_WORDS)):
             for cand in self.teachers(index, w)[:3]:
-                x.append(self.row(w, rng.choice((0, 1, 3, 9)), *cand, words.real[cand[2]]))
+                x.append(self.row(w, rng.choice((0, 1, 3, 9)) / self.scale, *cand, words.real[cand[2]]))
                 y.append(False)
         self.rank.fit(x, y) if x else self.rank.fit([[0.0]], [0])
         x, y = [], []
@@ -494,7 +497,9 @@ def learn(tally: DataFrame, tokenizer: str = TOKENIZER) -> Corrector:
     """The models, from the SAMPLE_WORDS most frequent words."""
     rows = of_kind(tally, "w").where(f"n >= {LEAST_COUNT}").orderBy(F.desc("n"), "word").limit(SAMPLE_WORDS).collect()
     rows.sort(key=lambda r: r["word"])
-    return Corrector(Words([(r["word"], r["n"], r["n_capital"], r["n_foreign"]) for r in rows], tokenizer, {r["word"]: r["n_alone"] for r in rows if r["n_alone"]})).train()
+    total = of_kind(tally, "w").agg(F.sum("n").alias("n")).first()["n"] or 0
+    words = Words([(r["word"], r["n"], r["n_capital"], r["n_foreign"]) for r in rows], tokenizer, {r["word"]: r["n_alone"] for r in rows if r["n_alone"]})
+    return Corrector(words, max(LEAST_COUNT, total * UNSEEN_SHARE)).train()
 
 
 def vocabulary(tally: DataFrame, corrector: Corrector) -> DataFrame:
@@ -555,7 +560,7 @@ def misread_words(tally: DataFrame, vocabulary: DataFrame, corrector: Corrector)
     """
     spark = tally.sparkSession
     seen = of_kind(tally, "w").where("instr(word, '-') = 0").unionByName(of_kind(tally, "u")).where(F.length("word") >= 2).where(~F.col("word").rlike("^[0-9]+$"))
-    seen = seen.groupBy("word").agg(F.max(F.when(F.col("n") >= LEAST_COUNT, F.col("n")).otherwise(0)).alias("n"))
+    seen = seen.groupBy("word").agg(F.max(F.when(F.col("n") >= corrector.unseen, F.col("n")).otherwise(0)).alias("n"))
     real = vocabulary.where("real")
     top = (real.agg(F.max("n").alias("n")).first()["n"] or 0) / RARER
 
@@ -589,7 +594,11 @@ def misread_words(tally: DataFrame, vocabulary: DataFrame, corrector: Corrector)
             yield pd.DataFrame(rows, columns=["word", "right", "chance"])
 
     ranked = pairs.select("word", "n", "right", "m").mapInPandas(rank, "word string, right string, chance double")
-    return ranked.groupBy("word").agg(F.max(F.struct("chance", "right")).alias("best")).select(F.concat(F.lit("w\t"), "word").alias("key"), F.col("best.right").alias("value"))
+    best = written(ranked.groupBy("word").agg(F.max(F.struct("chance", "right")).alias("best")).select("word", F.col("best.right").alias("right")))
+    # In a large collection a misread form may itself be frequent enough for the vocabulary: then its own right form counts.
+    again = best.select(F.col("word").alias("right"), F.col("right").alias("further"))
+    out = join_measured(best, again, ["right"], "left")
+    return out.select(F.concat(F.lit("w\t"), "word").alias("key"), F.coalesce("further", "right").alias("value")).where("substring(key, 3) != value")
 
 
 def counts_of(asked: DataFrame, names: dict[str, Column], vocabulary: DataFrame) -> DataFrame:
@@ -604,13 +613,14 @@ def decisions(tally: DataFrame, corrector: Corrector) -> DataFrame:
     """key, value of everything that is to be changed: ``w`` words with their right form, ``c`` pairs to be joined, ``d``
     forms with their number."""
     words = written(vocabulary(tally, corrector))
+    seen = words.where(F.col("n") >= corrector.unseen)
     models, name = tally.sparkSession.sparkContext.broadcast(corrector), new_key()
     part = F.split("key", "\t")
     cut = tally.where(F.col("key").startswith("c\t")).select("key", part[1].alias("a"), part[2].alias("b"))
-    cut = counts_of(cut, {"whole": F.concat("a", "b"), "kept": F.concat_ws("-", "a", "b"), "a": F.col("a"), "b": F.col("b")}, words)
+    cut = counts_of(cut, {"whole": F.concat("a", "b"), "kept": F.concat_ws("-", "a", "b"), "a": F.col("a"), "b": F.col("b")}, seen)
     letters = "".join(k for k in DIGIT_OF)
     forms = tally.where(F.col("key").startswith("d\t")).select("key", F.expr("substring(key, 3)").alias("form"))
-    forms = counts_of(forms, {"form": F.lower("form"), "number": F.translate("form", letters, "".join(DIGIT_OF[k] for k in letters))}, words)
+    forms = counts_of(forms, {"form": F.lower("form"), "number": F.translate("form", letters, "".join(DIGIT_OF[k] for k in letters))}, seen)
 
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = per_worker(name, lambda: models.value)
