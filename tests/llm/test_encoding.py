@@ -75,3 +75,56 @@ def test_long_words_are_not_cut_inside_damage(model, before):
     word = "x" * before + "für" + "y" * 300
     bad = "x" * before + "".join(E.from_bytes("cp1252")[b] for b in "für".encode()) + "y" * 300
     assert E.Reader(model).record(bad)[::2] == (True, word)
+
+
+DAMAGED = ("“so”", "°C", "été")
+
+
+def damaged_corpus(spark):
+    """Clean lines, and three words that are damaged so that no rule is sure of it."""
+    lines = [" ".join(WORDS[(i * 3 + k) % len(WORDS)] + "abcdefgh"[i % 8] * (k == 0) for k in range(5)) for i in range(900)]
+    bad = ["".join(E.from_bytes("mac_roman")[b] for b in w.encode("cp1252")) for w in DAMAGED]
+    return spark.createDataFrame([(i, x) for i, x in enumerate(lines + [f"plain {w} case" for w in bad])], "line_id bigint, raw string"), bad
+
+
+def test_margin_is_that_of_all_words_and_ngrams(spark):
+    df, bad = damaged_corpus(spark)
+    words = {r["word"]: r["n"] for r in E.clean_words(df, ["raw"]).collect()}
+    clean = {w: n for w, n in words.items() if w not in bad}
+    alone = E.Model.of(E.grams(clean.items()))
+    alone.validate(sorted(w for w in clean if not w.isascii()))
+    model = E.train(df, "raw")
+    assert set(bad) <= set(words) and model.counts == alone.counts
+    assert model.margin == pytest.approx(alone.margin)
+
+
+def test_words_seen_once_count(spark):
+    rows = [("für Größe",)] * 40 + [("Ångström",)]
+    model = E.train(spark.createDataFrame(rows, "raw string"), "raw")
+    assert model.counts["3Ång"] == 1
+
+
+def test_damage_does_not_vouch_for_itself(spark):
+    df, bad = damaged_corpus(spark)
+    got = {r["original"]: r["restored"] for r in E.repair(df, "line_id", "raw", E.train(df, "raw")).collect()}
+    assert got == {f"plain {w} case": f"plain {t} case" for w, t in zip(bad, DAMAGED)}
+
+
+def test_models_that_stay_tables_give_the_same(spark, monkeypatch):
+    df, _ = damaged_corpus(spark)
+    once = "".join(E.from_bytes("cp1252")[b] for b in "montañas".encode())
+    more = spark.createDataFrame([(2000, once * 70 + " x"), (2001, "pr�s " + once), (2001, "pr�s " + once), (2002, "\r" + once)], "line_id bigint, raw string")
+    df = df.unionByName(more)
+    model = E.train(df, "raw")
+    rows = {tuple(r) for r in E.repair(df, "line_id", "raw", model).collect()}
+    monkeypatch.setattr(E, "MODEL_BYTES", -1)
+    monkeypatch.setattr(E, "TASK_WORDS", 20)
+    table = E.train(df, "raw")
+    assert table.table is not None and table.margin == pytest.approx(model.margin)
+    assert {tuple(r) for r in E.repair(df, "line_id", "raw", table).collect()} == rows and len(rows) > 3
+
+
+def test_rank_is_exact(spark):
+    values = sorted([-3.5, -3.4999, 0.0, 0.25, 0.25, 0.2501, 7.0, 7.0000005])
+    df = spark.createDataFrame([(v,) for v in values], "gain double")
+    assert [E.ranked(df, k) for k in range(len(values))] == pytest.approx(values, abs=1e-9)
